@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .lines import ORACLE_OP4, op4_line_dedup
 from .simhash import op8_simhash
+from .substrings import op5_substring_dedup
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": ORACLE_OP4}
