@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
@@ -9,6 +10,7 @@ from .substrings import op5_substring_dedup
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
 }
 
