@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
+from .packing import op10_packing
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": ORACLE_OP4}
