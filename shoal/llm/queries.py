@@ -5,15 +5,23 @@ from __future__ import annotations
 from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
 from .packing import op10_packing
+from .sharding import ORACLE_OP6, op6_sharding
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
+from .topk import ORACLE_OP1, op1_top_k
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_sharding": op6_sharding,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": ORACLE_OP4}
+ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": ORACLE_OP1,
+    "op4_line_dedup": ORACLE_OP4,
+    "op6_sharding": ORACLE_OP6,
+}
