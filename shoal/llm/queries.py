@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
 from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
 from .packing import op10_packing
+from .quality import op2_quality
 from .sharding import ORACLE_OP6, op6_sharding
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
@@ -12,11 +14,13 @@ from .topk import ORACLE_OP1, op1_top_k
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_quality": op2_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_token_ids": op7_token_ids,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
 }
 
