@@ -11,10 +11,12 @@ from .sharding import ORACLE_OP6, op6_sharding
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
 from .topk import ORACLE_OP1, op1_top_k
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
