@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .text import SPACES, Chunk, chunks, hashes, mix
 
 WINDOW = 50
-#: Windows a group, bytes of text a bucket of documents, bytes of text a chunk.
-GROUP, BUCKET, CHUNK = 1 << 20, 1 << 23, 1 << 21
+#: Windows a group, bytes of text a bucket of documents, bytes of text a chunk; groups and buckets at least.
+GROUP, BUCKET, CHUNK, LEAST = 1 << 21, 1 << 25, 1 << 22, 64
 
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
@@ -68,12 +68,17 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _split(key: np.ndarray, docs: np.ndarray, hs: np.ndarray):
-    """Packed docs and hashes of each value of ``key``."""
-    order = np.argsort(key, kind="stable")
+    """Packed docs, how many hashes each has, and hashes of each value of ``key``."""
+    order = np.lexsort((docs, key))
     key, docs, hs = key[order], docs[order], hs[order]
     begin = _runs(key)
     for a, b in zip(begin, np.append(begin[1:], len(key))):
-        yield int(key[a]), docs[a:b].tobytes(), hs[a:b].tobytes()
+        own = _runs(docs[a:b])
+        yield int(key[a]), docs[a + own].tobytes(), np.diff(np.append(own, b - a)).astype(np.int32).tobytes(), hs[a:b].tobytes()
+
+
+def _joined(docs: list[bytes], runs: list[bytes]) -> np.ndarray:
+    return np.repeat(np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(runs), np.int32))
 
 
 def _owned(docs: np.ndarray, hs: np.ndarray):
@@ -85,35 +90,34 @@ def _owned(docs: np.ndarray, hs: np.ndarray):
     return docs, hs, begin, least, np.repeat(least, np.diff(np.append(begin, len(hs))))
 
 
-_ASKED = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
-_ANSWER = pa.schema([("b", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
+_ASKED = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
+_ANSWER = pa.schema([("b", pa.int32()), ("docs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
 
 
 def _ask(batches: Iterable[pa.RecordBatch], window: int, groups: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches, limit=CHUNK):
         ids = c.column("doc_id")
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        sound = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy()
         _, _, _, _, doc, h, h2 = _windows(c, window)
-        keep = known[doc]
+        keep = sound[doc]
         doc, h, h2 = ids[doc[keep]], h[keep], h2[keep]
-        rows: list[tuple] = []
         d, s, begin, least, beside = _owned(doc, h)
         late = d > beside
-        rows += [(0, *x) for x in _split(d[late] % buckets, d[late], s[late])]  # known to be repeated within the chunk
+        known = [(b % groups, b, *x) for b, *x in _split(d[late] % buckets, d[late], s[late])]  # repeated within the chunk
         order = np.argsort(h, kind="stable")
         group = (h2[order][begin] % _U(groups)).astype(np.int64)
-        rows = [(b % groups, b, x, y) for _, b, x, y in rows] + [(p, -1, x, y) for p, x, y in _split(group, least, s[begin])]
+        rows = known + [(p, -1, *x) for p, *x in _split(group, least, s[begin])]
         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _ASKED.types)] if rows else [pa.array([], t) for t in _ASKED.types], schema=_ASKED)
 
 
 def _answer(table: pa.Table, buckets: int) -> pa.Table:
     b = table.column("b").to_numpy()
-    docs, hs = table.column("docs").to_pylist(), table.column("hashes").to_pylist()
+    docs, runs, hs = (table.column(c).to_pylist() for c in ("docs", "runs", "hashes"))
     asked = np.flatnonzero(b < 0)
-    d = np.frombuffer(b"".join(docs[k] for k in asked), np.int64)
+    d = _joined([docs[k] for k in asked], [runs[k] for k in asked])
     s = np.frombuffer(b"".join(hs[k] for k in asked), np.uint64)
-    rows = [(int(b[k]), docs[k], hs[k]) for k in np.flatnonzero(b >= 0)]
+    rows = [(int(b[k]), docs[k], runs[k], hs[k]) for k in np.flatnonzero(b >= 0)]
     d, s, _, _, beside = _owned(d, s)
     late = d > beside
     rows += _split(d[late] % buckets, d[late], s[late])
@@ -125,7 +129,7 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed"
 
 def _remove(docs: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     with np.errstate(over="ignore"):
-        d = np.frombuffer(b"".join(answers.column("docs").to_pylist()), np.uint64)
+        d = _joined(answers.column("docs").to_pylist(), answers.column("runs").to_pylist()).view(np.uint64)
         gone = np.sort(mix(np.frombuffer(b"".join(answers.column("hashes").to_pylist()), np.uint64) ^ mix(d)))
     out = []
     for c in chunks(docs.to_batches(), limit=CHUNK):
@@ -169,13 +173,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     empty texts have no words. Rows with equal doc_id don't remove each other's words; rows with a null
     doc_id stay whole and remove nothing. An empty table gives an empty table; further columns play no part.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups, buckets = max(least, size // (6 * GROUP)), _prime(max(least, size // BUCKET))
-    asked = docs.mapInArrow(lambda it: _ask(it, window, groups, buckets), "p int, b int, docs binary, hashes binary")
-    answers = asked.groupBy("p").applyInArrow(lambda t: _answer(t, buckets), "b int, docs binary, hashes binary")
+    groups, buckets = max(LEAST, size // (6 * GROUP)), _prime(max(LEAST, size // BUCKET))
+    asked = docs.mapInArrow(lambda it: _ask(it, window, groups, buckets), "p int, b int, docs binary, runs binary, hashes binary")
+    answers = asked.groupBy("p").applyInArrow(lambda t: _answer(t, buckets), "b int, docs binary, runs binary, hashes binary")
     dealt = docs.withColumn("b", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
     return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda x, y: _remove(x, y, window), "doc_id long, n_words long, n_removed long, text string")
 
