@@ -146,8 +146,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id overlaps an item; all columns stay."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = overlaps(docs, benchmark).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -126,17 +126,16 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_chars, least_docs)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("drop").alias("_drop"))
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains(F.col("_drop"), k)), "\n")
-    out = docs.withColumn("_at", F.xxhash64("text"))
-    out = out.join(gone, F.col("_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("_mark") == F.col("_at")), "left")
-    out = out.withColumns({
-        "n_lines": F.size(all_lines).cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        "kept": F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept),
-    })
-    return out.drop("_id", "_mark", "_drop", "_at")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64("text").alias("at"))
+    all_lines = F.split("body", "\n", -1)
+    kept = F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains(F.col("drop"), k)), "\n")
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("at")), "left")
+    return out.select(
+        "row.*",
+        F.size(all_lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("kept"),
+    )
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
