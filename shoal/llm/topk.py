@@ -2,7 +2,7 @@
 
 Rows and queries are dealt into blocks; each pair of a row block and a query block is one group. In a
 group every dimension has a list of its rows sorted by that component. A query walks all lists from
-the end its sign favours, a stride at a time, scores each row on first sight, and stops when the bound
+the end its sign favours, in growing steps, scores each row on first sight, and stops when the bound
 on unseen rows (the sum over dimensions of its component times the list's current value) cannot beat
 its k-th score. The k best of each row block merge into the k best of all.
 """
@@ -27,27 +27,35 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 def threshold_search(q: np.ndarray, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, own: int, k: int, stride: int = STRIDE) -> np.ndarray:
-    """Row numbers of the k best for ``q`` among ``rows`` (ids ascending, so a stable sort keeps the smaller id on ties); ``order``: each dimension's rows, ascending."""
-    dims = np.flatnonzero(q)
+    """Row numbers of the k best for ``q`` among ``rows`` (ids ascending, so that the smaller number wins ties); ``order``: each dimension's rows, ascending.
+
+    The lists are read in steps that double, so a query reads at most twice as deep as it must.
+    """
+    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
     n = len(rows)
     seen = ids == own  # the query's own row takes no part
-    best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(dims):  # every score is 0
+    if not len(up) + len(down):  # every score is 0
         return np.flatnonzero(~seen)[:k]
-    lists = np.where((q[dims] > 0)[:, None], order[dims][:, ::-1], order[dims])
-    step = stride
-    for lo in range(0, n, step):
-        new = np.unique(lists[:, lo : lo + step])
-        new = new[~seen[new]]
+    best, score = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
+    lo, hi = 0, min(n, stride)
+    while True:
+        met = np.zeros(n, bool)
+        met[order[up, n - hi : n - lo]] = True
+        met[order[down, lo:hi]] = True
+        new = np.flatnonzero(met & ~seen)
         seen[new] = True
         best, score = np.concatenate((best, new)), np.concatenate((score, rows[new] @ q))
+        if len(best) > k:
+            good = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            best, score = best[good], score[good]
         top = np.lexsort((best, -score))[:k]
         best, score = best[top], score[top]
-        if lo + step >= n:
+        if hi == n:
             break
-        bound = int((q[dims] * rows[lists[:, lo + step - 1], dims]).sum())
+        bound = (q[up] * rows[order[up, n - hi], up]).sum() + (q[down] * rows[order[down, hi - 1], down]).sum()
         if len(best) == k and bound < score[-1]:  # a tie could still bring a smaller id
             break
+        lo, hi = hi, min(n, 2 * hi)
     return best
 
 
@@ -63,9 +71,11 @@ def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         qs, qv = matrix(queries)
         ids, v = matrix(rows)
         order = np.argsort(v, axis=0, kind="stable").T.copy()
+        if v.shape[1] * max(1, int(np.abs(v).max(initial=0))) * max(1, int(np.abs(qv).max(initial=0))) < 1 << 53:
+            v, qv = v.astype(np.float64), qv.astype(np.float64)  # whole numbers this small stay exact
         for own, q in zip(qs.tolist(), qv):
             best = threshold_search(q, v, ids, order, own, k)
-            out += zip([own] * len(best), ids[best].tolist(), (v[best] @ q).tolist())
+            out += zip([own] * len(best), ids[best].tolist(), map(int, (v[best] @ q).tolist()))
     return pa.table([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
 
