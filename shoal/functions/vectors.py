@@ -50,10 +50,13 @@ def average_hash(luma: DataFrame) -> DataFrame:
     return luma.join(mean, "image_id").groupBy("image_id").agg(F.bit_or(bits).alias("hash")).withColumn("hash", F.lower(F.lpad(F.hex("hash"), 16, "0")))
 
 
-@F.pandas_udf("string")
-def vector_checksum(v: pd.Series) -> pd.Series:
+def vector_checksum(v: Column) -> Column:
     """SHA-256 of a vector's little-endian 32-bit floats."""
-    return v.map(lambda x: None if x is None else hashlib.sha256(x.astype("<f4").tobytes()).hexdigest())
+
+    def digest(x: pd.Series) -> pd.Series:
+        return x.map(lambda y: None if y is None else hashlib.sha256(y.astype("<f4").tobytes()).hexdigest())
+
+    return F.pandas_udf(digest, "string")(v)
 
 
 LOGITS = "SELECT l_orderkey AS id, l_linenumber AS line, [l_quantity / 10, l_discount * 20, l_tax * 30, -l_quantity / 20, CAST(l_linenumber AS DOUBLE) / 3] AS logits FROM lineitem"
@@ -99,4 +102,4 @@ def _average_hash(t):
 
 @query("vector_checksum")
 def _vector_checksum(t):
-    return t.embeddings.select("vec_id", vector_checksum("embedding").alias("checksum"))
+    return t.embeddings.select("vec_id", vector_checksum(F.col("embedding")).alias("checksum"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import details, filters, stats  # noqa: F401  each module registers its queries
+from .operators import details, filters, similarity, stats  # noqa: F401  each module registers its queries
 from .functions import vectors  # noqa: F401
+from .plans import search  # noqa: F401
 from .sources.views import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
