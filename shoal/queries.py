@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import details, filters, similarity, stats  # noqa: F401  each module registers its queries
+from .operators import changes, details, filters, ranking, similarity, stats, windows  # noqa: F401  each module registers its queries
 from .functions import names, vectors  # noqa: F401
 from .plans import search  # noqa: F401
 from .sources.views import ORACLE_SQL, QUERIES
