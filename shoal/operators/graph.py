@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder and read back; a temporary folder stands in where none is set (tests)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one stands in only where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-shoal-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
