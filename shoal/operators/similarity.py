@@ -166,13 +166,13 @@ def reidentified(detections: DataFrame, threshold: float = 0.178) -> DataFrame:
 
 
 def boxes_in_regions(boxes: DataFrame, regions: DataFrame, pad: int = 20) -> DataFrame:
-    """``(image_id, box_id, region)``: the last region that holds the box's centre, padded; null for orphans."""
+    """``(image_id, box_id, region)``, one row a box: the last region that holds the box's centre, padded; null for orphans."""
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     points = boxes.select("image_id", "box_id", x.alias("x"), y.alias("y"))
     areas = regions.select("image_id", F.col("region"), *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")])
     inside = F.col("x").between(F.col("rx0") - pad, F.col("rx1") + pad) & F.col("y").between(F.col("ry0") - pad, F.col("ry1") + pad)
     held = points.join(areas, "image_id").where(inside).groupBy("image_id", "box_id").agg(F.max("region").alias("region"))
-    return points.join(held, ["image_id", "box_id"], "left").select("image_id", "box_id", "region")
+    return points.select("image_id", "box_id").distinct().join(held, ["image_id", "box_id"], "left")
 
 
 def _overlap(a: Column, b: Column) -> Column:

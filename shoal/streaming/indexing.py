@@ -67,7 +67,7 @@ def _stream_index(t):
     return run_index(stream, path + "-run")
 
 
-@query("stream_reconcile")
+@query("stream_reconcile", "WITH f AS (SELECT DISTINCT path FROM assets WHERE id % 19 <> 0) SELECT id, path NOT IN (SELECT path FROM f) AS is_missing FROM assets WHERE NOT is_deleted AND (path NOT IN (SELECT path FROM f)) <> is_missing", "assets")
 def _stream_reconcile(t):
     """A scheduled reconcile: one available-now run over newly listed files, its result the changed flags."""
     listing = t.assets.where("id % 19 <> 0").select("path").distinct()
