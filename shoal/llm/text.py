@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Target bytes of a chunk.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: ``[\x20\x09-\x0D]``: what separates words.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

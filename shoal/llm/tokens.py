@@ -10,6 +10,7 @@ BPE that drops white space; which of the two holds is found out by encoding "a b
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from .text import FOLD, SPACES, Chunk, chunks, hashes, mix
 
 #: Units that a worker keeps (about 50 bytes each); beyond them it forgets the half that it met least.
-KEPT = 1 << 20
-#: Words that go to the library as one text.
-JOINED = 200
+KEPT = 1 << 18
+#: Words that go to the library as one text; texts that go to it in one call.
+JOINED, AT_ONCE = 200, 64
 
 _U = np.uint64
 #: 1 letters, 2 signs, 3 digits, 4 what makes its piece one unit. White space gets 0 (goes with the next unit, or is dropped), 5 or 6.
@@ -44,6 +45,7 @@ def _exotic(buf: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str, end: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core; more threads only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -91,8 +93,13 @@ class Encoder:
         return out
 
     def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)] if pieces else []
-        return np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64)
+        out, size = [np.zeros(0, np.uint32)], []
+        for k in range(0, len(pieces), AT_ONCE):  # the library's answers are large
+            for x in self.tokenizer.encode_batch(pieces[k : k + AT_ONCE], add_special_tokens=False):
+                ids = x.ids
+                out.append(np.array(ids, np.uint32))
+                size.append(len(ids))
+        return np.concatenate(out), np.array(size, np.int64)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of single words of letters, each with its blank, many to a text."""
