@@ -7,13 +7,14 @@ from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
 from .packing import op10_packing
 from .quality import op2_quality
+from .scratch import modest_batches
 from .sharding import ORACLE_OP6, op6_sharding
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
 from .topk import ORACLE_OP1, op1_top_k
 from .toxicity import op3_toxicity
 
-QUERIES = {
+OPERATORS = {
     "op1_top_k": op1_top_k,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
@@ -26,6 +27,17 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
+
+def _query(operator):
+    def run(spark, sf_dir):
+        modest_batches(spark)
+        return operator(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _query(operator) for name, operator in OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": ORACLE_OP1,
     "op4_line_dedup": ORACLE_OP4,
