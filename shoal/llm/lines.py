@@ -24,6 +24,8 @@ from .text import FOLD, Chunk, chunks
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Largest filter (32 MB); bytes of a filter that travel in one row.
 MOST_BITS, PIECE = 1 << 28, 1 << 16
+#: Rows of one line that a task may join, at least.
+HOT_ROWS = 1000
 
 _NL = 0x0A
 
@@ -110,7 +112,13 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     found = rows.mapInArrow(lambda it: _suspects(it, sent.value, least_chars), "doc_id long, mark long, key binary, lines array<int>")
     found, _ = written(found, "lines")
     sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
-    gone = found.join(sure.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    sure, _ = written(sure, "repeated-lines")
+    # a line that makes up more than a thousandth of all suspects is dealt over several tasks; there are fewer than a thousand
+    share = max(HOT_ROWS, found.count() // 1000)
+    hot = F.broadcast(sure.where(F.col("n") > share).select(F.xxhash64("key").alias("h"), F.ceil(F.col("n") / share).alias("parts")).groupBy("h").agg(F.max("parts").alias("parts")))
+    dealt = found.withColumn("h", F.xxhash64("key")).join(hot, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "mark"), "parts"), F.lit(0)))
+    keys = sure.withColumn("h", F.xxhash64("key")).join(hot, "h", "left").select("key", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    gone = dealt.join(keys, ["key", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
