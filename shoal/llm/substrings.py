@@ -20,7 +20,7 @@ from .text import SPACES, Chunk, chunks, hashes, mix
 
 WINDOW = 50
 #: Windows a group, bytes of text a bucket of documents, bytes of text a chunk; groups and buckets at least.
-GROUP, BUCKET, CHUNK, LEAST = 1 << 21, 1 << 25, 1 << 22, 64
+GROUP, BUCKET, CHUNK, LEAST = 1 << 20, 1 << 24, 1 << 22, 16
 
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
