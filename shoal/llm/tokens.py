@@ -44,12 +44,15 @@ def _exotic(buf: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, end: int):
+    """``special``: the strings of added tokens in a text are those tokens, as the library has it by default; else they are ordinary text."""
+
+    def __init__(self, path: str, end: int, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core; more threads only hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [FOLD[np.frombuffer(x.content.encode(), np.uint8)].tobytes() for x in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         a, b, both, capital = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "b", "a b", "A"))
         self.glued, self.folds = both != a + b, capital == a
         # words joined by blanks come apart again where a token begins with the blank, or ends the word
@@ -138,6 +141,16 @@ class Encoder:
         self.begin, self.size, self.met, self.keys = ends - size, size, self.met[keep] // 2, self.keys[keep]
         self._rebuild()
 
+    def _added(self, buf: np.ndarray) -> np.ndarray:
+        """Where strings of added tokens begin, whatever their case."""
+        raw, at = FOLD[buf].tobytes() if self.added else b"", []
+        for x in self.added:
+            k = raw.find(x)
+            while k >= 0:
+                at.append(k)
+                k = raw.find(x, k + 1)
+        return np.array(at, np.int64)
+
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's texts, each text's end id included, and how many each text has."""
         buf = FOLD[c.buf] if self.folds else c.buf
@@ -190,7 +203,7 @@ class Encoder:
         text = np.repeat(np.arange(c.n), np.diff(of))
         to = np.repeat(ends[:-1] + text, size) + np.arange(ends[-1]) - np.repeat(ends[:-1], size)
         ids[to] = self.flat[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(ends[-1])]
-        whole = np.unique(np.searchsorted(c.start, _exotic(c.buf), "right") - 1)
+        whole = np.unique(np.searchsorted(c.start, np.concatenate((_exotic(c.buf), self._added(c.buf))), "right") - 1)
         if len(whole):
             parts = np.split(ids, np.cumsum(count)[:-1])
             for k in whole.tolist():
@@ -207,7 +220,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 def encoder(path: str, end: int) -> Encoder:
     """One a Python worker."""
     if (path, end) not in _encoders:
-        _encoders[path, end] = Encoder(path, end)
+        _encoders[path, end] = Encoder(path, end, special=True)
     return _encoders[path, end]
 
 

@@ -40,6 +40,16 @@ def test_encoder_equals_the_library(name, end, kept, monkeypatch):
         assert got == reference(name, texts, end)
 
 
+@pytest.mark.parametrize("name,end", FILES)
+def test_added_tokens_in_texts(name, end):
+    """The operators' encoder keeps the library's default: an added token's string is that token."""
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = ["end <|endoftext|> go", "plain words", "<|endoftext|>", "a<|startoftext|>b  c", "<|ENDOFTEXT|> <|endof text|>", None, "x<|endoftext|><|endoftext|>\n", "the end"]
+    ids, count = tokens.encoder(public_tokenizers.path(name), end).encode(next(chunks([pa.record_batch([pa.array(texts)], ["text"])])))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+    assert got == [library.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(0)
     for n in (2, 3, 17, 200):
