@@ -35,3 +35,8 @@ def _content_hash(t):
     ascii_head = F.octet_length(F.substring("text", 1, 1000)) == F.length(F.substring("text", 1, 1000))
     docs = t.documents.where((F.col("doc_id") % 3 > 0) | ascii_head)
     return docs.select("doc_id", content_hash(F.col("text").cast("binary"), F.col("doc_id") % 3 > 0, 1000).alias("sha"))
+
+
+@query("content_hash_all", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def _content_hash_all(t):
+    return t.documents.select("doc_id", content_hash(F.col("text").cast("binary")).alias("sha"))
