@@ -214,6 +214,11 @@ def _phash_pairs(t):
     return hash_pairs(perceptual(t).where("id % 2 = 0"))
 
 
+@query("phash_pairs_all")
+def _phash_pairs_all(t):
+    return hash_pairs(perceptual(t))
+
+
 KNN = """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.id AS query_id, r.id, list_cosine_similarity(q.v, r.v) AS score FROM e q JOIN e r ON q.id % 20 = 0 AND q.id <> r.id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, CAST(floor(score * 1000000 + 0.5) AS BIGINT) AS score FROM s
