@@ -104,6 +104,11 @@ def _image_details(t):
     return _flat(_all(t, t.assets.where("NOT is_deleted AND id % 3 = 0")))
 
 
+@query("image_details_all", details_sql("true"), "assets asset_tags tags detections text_lines")
+def _image_details_all(t):
+    return _flat(_all(t, t.assets.where("NOT is_deleted")))
+
+
 @query("image_detail_one", details_sql("id = (SELECT min(id) FROM assets WHERE NOT is_deleted AND id > 100)", ", coalesce(n_blacklisted, 0) AS n_blacklisted"), "assets asset_tags tags detections text_lines")
 def _image_detail_one(t):
     one = t.assets.where("NOT is_deleted AND id > 100").agg(F.min("id").alias("id"))

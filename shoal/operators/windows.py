@@ -123,6 +123,11 @@ def _gallery_position(t):
     return gallery_position(t.assets, t.assets.where("id % 7 = 0"))
 
 
+@query("gallery_position_all", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS position FROM assets WHERE NOT is_deleted AND NOT is_missing", "assets")
+def _gallery_position_all(t):
+    return gallery_position(t.assets, t.assets)
+
+
 @query("top_tags_per_category", """
 WITH c AS (SELECT tag_id, CASE WHEN category IN ('character', 'copyright', 'meta', 'user') THEN category ELSE 'other' END AS category, count(*) AS n FROM asset_tags a JOIN tags t ON a.tag_id = t.id WHERE source_id = 1 AND NOT is_deleted GROUP BY ALL)
 SELECT tag_id, category, n, CAST(row_number() OVER (PARTITION BY category ORDER BY n DESC, tag_id) AS INT) AS place, CAST(floor(n * 1000 / max(n) OVER (PARTITION BY category) + 0.5) AS BIGINT) AS share FROM c QUALIFY place <= 300""", "asset_tags tags")
