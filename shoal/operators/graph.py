@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +45,14 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def closure(edges: DataFrame, depth: int = 30) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """``(ancestor, node, distance)``: all that is reachable over ``edges(parent, child)``, by the shortest way; cycles end."""
     edges = kept(edges.where("parent <> child").distinct())
     reached = kept(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")))
     front = reached
-    for k in range(2, depth + 1):
+    for k in count(2):
         step = front.join(edges, F.col("node") == F.col("parent")).select("ancestor", F.col("child").alias("node")).where("ancestor <> node").distinct()
         front = kept(step.join(reached, ["ancestor", "node"], "left_anti").withColumn("distance", F.lit(k)))
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
-    return reached
