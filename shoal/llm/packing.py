@@ -1,8 +1,8 @@
 """Packing of token sequences into windows, planned by non-negative least squares.
 
 Whole windows of a document stand alone; what is left of each (0 to window-1 tokens) is a piece whose
-length counts in a histogram. Shallow combinations of two, three or four lengths that fill a window
-exactly are enumerated, non-negative least squares finds how often to use each so that together they
+length counts in a histogram. Of combinations that fill a window exactly, all pairs of lengths are taken
+and triples and quadruples are drawn by the histogram (48 draws a length and depth). Non-negative least squares finds how often to use each so that together they
 match the histogram, and the counts are rounded so that none asks for more pieces than there are.
 Pieces find their place by their rank among those of their length. The residual is packed greedily in
 bounded groups: the longest piece first, then the longest that still fits, and a cut only where
