@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalized_url, parent
+from ..shared import kept
 from ..sources.views import query
 
 
@@ -26,8 +27,6 @@ def numbered(rows: DataFrame, order: Sequence[str], base: Column | int = 0, name
     """Consecutive numbers from ``base`` + 1 in a total order, by sorted parts and their offsets: no task sees all rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    from .graph import kept
-
     placed = kept(placed)
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a part

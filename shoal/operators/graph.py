@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one stands in only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shoal-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import drop, kept, written
 
 
 def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -32,15 +16,17 @@ def connected(links: DataFrame, rounds: int = 100) -> DataFrame:
     Labels pass along links and then jump to their own label's label, so rounds grow with the logarithm
     of the longest chain rather than its length on most graphs.
     """
-    both = kept(links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
-    labels = kept(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both, held = written(links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "links")
+    labels, path = written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnsRenamed({"node": "v"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        moved = kept(step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")))
-        labels = moved.select("node", "label")
+        moved, to = written(step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")), "labels")
+        drop(links.sparkSession, path)
+        labels, path = moved.select("node", "label"), to
         if moved.where("old <> label").isEmpty():
+            drop(links.sparkSession, held)
             return labels
     raise RuntimeError(f"no end after {rounds} rounds")
 

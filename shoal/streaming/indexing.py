@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import vector_checksum
 from ..operators.changes import keyed_upsert
 from ..operators.filters import reconcile_missing
-from ..operators.graph import kept, shared_dir
+from ..shared import fresh_path, kept
 from ..sources.views import query
 
 STATE = "image_id long, state string, checksum string"
@@ -55,7 +54,7 @@ def run_index(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFram
 
 def _arrivals(t, rows: DataFrame, parts: int) -> tuple[DataFrame, str]:
     """The rows as files that arrive one after another."""
-    path = f"{shared_dir(t.spark)}/arrivals-{uuid.uuid4().hex}"
+    path = fresh_path(t.spark, "arrivals")
     rows.repartition(parts).write.parquet(path)
     return incoming(t.spark, path, rows.schema), path
 

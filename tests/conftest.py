@@ -25,11 +25,10 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        .config("spark.checkpoint.dir", f"file://{scratch}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 
-
-SF = "/root/testdata/sf0.001"

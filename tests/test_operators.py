@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SF
+from paths import SF
 from pyspark.sql import functions as F
 
 from shoal.functions import names

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from conftest import SF
+from paths import SF
 
 from shoal.queries import ORACLE_SQL, QUERIES
 from shoal.sources.views import BASE

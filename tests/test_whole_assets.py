@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import SF
+from paths import SF
 
 from shoal.queries import QUERIES
 from shoal.sources.views import Tables

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from conftest import SF
+from paths import SF
 from pyspark.sql import functions as F
 
 from shoal.queries import QUERIES

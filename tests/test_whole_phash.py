@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from conftest import SF
+from paths import SF
 
 from shoal.operators.similarity import perceptual
 from shoal.queries import QUERIES
