@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
@@ -25,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_workspace.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` and ``kept`` make inside are removed at the end; results are written elsewhere before."""
+    path = fresh_path(spark, "work")
+    token = _workspace.set(path)
+    try:
+        yield
+    finally:
+        _workspace.reset(token)
+        drop(spark, path)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
