@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import drop, fresh_path, written
+from ..shared import drop, fresh_path, written
 from .text import loads
 from .tokens import packed, token_table, width_of
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..shared import written
 from .text import FOLD, Chunk, chunks
 
 LEAST_CHARS, LEAST_DOCS = 20, 3

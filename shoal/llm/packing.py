@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..shared import written
 from .tokens import token_table, width_of
 
 SEQUENCE = 2048

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..shared import written
+
 
 BITS = 60
 #: Bytes of text a shard.

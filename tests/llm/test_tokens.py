@@ -12,7 +12,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from shoal.llm import huffman, packing, tokens
-from shoal.llm.scratch import fresh_path
+from shoal.shared import fresh_path
 from shoal.llm.text import chunks
 
 FILES = [("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)]
