@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 A word's score is its log-odds of standing in toxic texts, smoothed by a chain of Dirichlet priors: a
-word's prior is what its five-letter prefix says, whose prior is the four-letter prefix, whose prior is
-the share of toxic texts. A linear scan (Ruzzo and Tompa, 1999) finds every maximal segment of the scores,
+word's prior is what its first five bytes say, whose prior is the first four bytes, whose prior is the
+share of toxic texts (bytes of UTF-8; a letter beyond ASCII may be cut, which only merges more words). A linear scan (Ruzzo and Tompa, 1999) finds every maximal segment of the scores,
 which are shifted to be negative on the average; extreme-value statistics (Karlin and Altschul, 1990) turn
 a segment's score and the text's length into an expected number of such segments in clean text; sum
 statistics of the best segments together (Karlin and Altschul, 1993) give a text's evidence, and a logistic
@@ -114,22 +114,29 @@ class Model:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (from, to, sum) in linear time; only positive scores are visited one by one."""
-    held: list[tuple[int, int, float, float]] = []  # from, to, sum before, sum up to its end
+    """All maximal scoring segments (from, to, sum) in linear time; only positive scores are visited one by one.
+
+    Each held segment knows the nearest one before it that begins at a smaller sum, so a search passes over
+    those that a later segment can't be joined with only once. A segment without such a predecessor makes
+    all before it final.
+    """
+    out: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []  # from, to, sum before, sum up to its end, predecessor
     total = np.concatenate(([0.0], np.cumsum(scores)))
     at = np.flatnonzero(scores > 0)
-    for k, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
-        new = (k, k + 1, before, after)
-        while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or held[j][3] >= new[3]:
-                held.append(new)
-                break
-            new = (held[j][0], new[1], held[j][2], new[3])
+    for k, low, high in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        first, j = k, len(held) - 1
+        while j >= 0 and held[j][2] >= low:
+            j = held[j][4]
+        while j >= 0 and held[j][3] < high:  # joined, its own predecessor is the next to look at
+            first, _, low, _, before = held[j]
             del held[j:]
-    return [(a, b, r - l) for a, b, l, r in held]
+            j = before
+        if j < 0:
+            out += [(a, b, r - l) for a, b, l, r, _ in held]
+            held.clear()
+        held.append((first, k + 1, low, high, j))
+    return out + [(a, b, r - l) for a, b, l, r, _ in held]
 
 
 def segments(scores: np.ndarray, of: np.ndarray) -> Iterator[list[tuple[int, int, float]]]:
@@ -158,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int
     both parts the model's score is the share of toxic ones (0.5 without labels).
     """
     sc = docs.sparkSession.sparkContext
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled(labels, column, sample)), "doc_id").where("y IN (0, 1)")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled(labels, column, sample)), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4))
     rows = known.where(part < 3).select("text", "y")
     n = dict(rows.groupBy("y").count().collect())
@@ -231,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     passages are the significant segments in order: first word, word after the last, score, expected number
     in clean text; words are runs of letters and digits. Null and empty texts have no passage and the score
-    of a best segment of 0. Repeated rows get equal results; an empty table stays empty; columns named as
+    of a best segment of 0; a very long text is one row of a task, whose memory it needs a few times over. Repeated rows get equal results; an empty table stays empty; columns named as
     those added are replaced, others stay.
     """
     docs = docs.drop("score", "predicted", "passages")
