@@ -99,7 +99,7 @@ def _suspects(batches: Iterable[pa.RecordBatch], twice: np.ndarray, least_chars:
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``(doc_id, mark, drop)``: for texts that lose lines, the numbers of those lines from 0. mark is xxhash64 of the text."""
+    """``(doc_id, mark, drop)``: for texts that lose lines, the numbers of those lines from 0, ascending. mark is xxhash64 of the text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(1 << 20, 1 << (size // 16).bit_length()))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
@@ -111,7 +111,11 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     sent = docs.sparkSession.sparkContext.broadcast(twice)
     found = rows.mapInArrow(lambda it: _suspects(it, sent.value, least_chars), "doc_id long, mark long, key binary, lines array<int>")
     found, _ = written(found, "lines")
-    sure = found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
+    # rows that share a doc_id are one document: the few that do count once a line
+    twice_named, _ = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    own = found.join(twice_named, "doc_id", "left_anti").select("key", "doc_id")
+    own = own.unionByName(found.join(twice_named, "doc_id", "left_semi").select("key", "doc_id").distinct())
+    sure = own.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
     sure, _ = written(sure, "repeated-lines")
     # a line that makes up more than a thousandth of all suspects is dealt over several tasks; there are fewer than a thousand
     share = max(HOT_ROWS, found.count() // 1000)
@@ -119,31 +123,34 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     dealt = found.withColumn("h", F.xxhash64("key")).join(hot, "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "mark"), "parts"), F.lit(0)))
     keys = sure.withColumn("h", F.xxhash64("key")).join(hot, "h", "left").select("key", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     gone = dealt.join(keys, ["key", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
+    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("drop"))
 
 
 def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the kept lines as ``kept``.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
-    ``least_chars`` code points in at least ``least_docs`` rows lose all their lines except in rows of
-    the largest doc_id that holds them; a null doc_id is never the largest while another holds the
-    line. Null and empty texts are one empty line. Repeated rows count as documents each and get the
-    same result. An empty table gives an empty table; further columns stay, those of the names added
-    here are replaced.
+    ``least_chars`` code points in at least ``least_docs`` documents lose all their lines except in rows
+    of the largest doc_id that holds them. Rows that share a doc_id are one document; a row without
+    doc_id is one of its own and never the largest while another holds the line. Null and empty texts are
+    one empty line; a very long text is one row of a task, whose memory it needs a few times over. Repeated
+    rows get the same result. An empty table gives an empty table; further columns stay, those of the
+    names added here are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_chars, least_docs)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64("text").alias("at"))
-    all_lines = F.split("body", "\n", -1)
-    kept = F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains(F.col("drop"), k)), "\n")
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("at")), "left")
-    return out.select(
-        "row.*",
-        F.size(all_lines).cast("long").alias("n_lines"),
+    out = out.select("row", "body", "drop", F.split("body", "\n", -1).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")  # by hash, so a long text costs its length
+    kept = F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n")
+    out = out.select(
+        "row",
+        F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("kept"),
     )
+    return out.select("row.*", "n_lines", "n_dropped", "kept")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
