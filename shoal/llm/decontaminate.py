@@ -36,9 +36,9 @@ _BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 
 
 def _seeds(batches: Iterable[pa.RecordBatch], outside: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(hash, id, position, number of words, words around) of each masked position, or of those in ``bitmap``.
+    """(hash, id, mark, position, number of words, words around) of each masked position, or of those in ``bitmap``.
 
-    The words around are 32-bit hashes, ``outside`` where the text has none.
+    The words around are 31-bit hashes, ``outside`` where the text has none.
     """
     for c in chunks(batches):
         c.buf[:-8] = FOLD[c.buf[:-8]]
@@ -63,12 +63,12 @@ def _seeds(batches: Iterable[pa.RecordBatch], outside: int, bitmap: np.ndarray |
         raw = np.ascontiguousarray(around).tobytes()
         size = 4 * _ROUND
         yield pa.record_batch([
-            pa.array(seed.view(np.int64)), c.column("id").take(pa.array(doc[pos])), pa.array(pos - of[doc[pos]]), pa.array(n[doc[pos]]),
+            pa.array(seed.view(np.int64)), *(c.column(x).take(pa.array(doc[pos])) for x in ("id", "mark")), pa.array(pos - of[doc[pos]]), pa.array(n[doc[pos]]),
             pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary()),
-        ], ["hash", "id", "pos", "n", "around"])
+        ], ["hash", "id", "mark", "pos", "n", "around"])
 
 
-_SEED = "hash long, id long, pos long, n long, around binary"
+_SEED = "hash long, id long, mark long, pos long, n long, around binary"
 
 
 def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -98,9 +98,9 @@ def _either(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each hit, the aligned windows over the seed that lie in both texts and match well enough."""
     for batch in batches:
-        doc, item = batch.column(0), batch.column(1)
-        pos, doc_n, item_pos, n = (batch.column(k).to_numpy() for k in range(2, 6))
-        words = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, _ROUND) for k in (6, 7)]
+        doc, mark, item = batch.column(0), batch.column(1), batch.column(2)
+        pos, doc_n, item_pos, n = (batch.column(k).to_numpy() for k in range(3, 7))
+        words = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, _ROUND) for k in (7, 8)]
         same = np.zeros((batch.num_rows, _ROUND + 1), np.int64)
         np.cumsum(words[0] == words[1], axis=1, out=same[:, 1:])
         need_len = np.minimum(n, OVERLAP)
@@ -119,7 +119,22 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 most = np.where(ok, np.maximum(most, match), most)
         hit = np.flatnonzero(last >= 0)
         take = pa.array(hit)
-        yield pa.record_batch([doc.take(take), item.take(take), pa.array(pos[hit] - _SIDE + first[hit]), pa.array(pos[hit] - _SIDE + last[hit]), pa.array(most[hit])], ["doc_id", "item_id", "word_from", "word_to", "matched"])
+        yield pa.record_batch([doc.take(take), mark.take(take), item.take(take), pa.array(pos[hit] - _SIDE + first[hit]), pa.array(pos[hit] - _SIDE + last[hit]), pa.array(most[hit])], ["doc_id", "mark", "item_id", "word_from", "word_to", "matched"])
+
+
+def _windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, mark, item_id, word_from, word_to, matched)``: verified windows around each hit; mark is xxhash64 of the document's text."""
+    spark = docs.sparkSession
+    keyed = lambda df, c: df.select(F.col(c).cast("long").alias("id"), "text", F.xxhash64("text").alias("mark"))
+    items = keyed(benchmark, "item_id").mapInArrow(lambda it: _seeds(it, 1, None), _SEED)
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    for k, x in items.select("hash").mapInArrow(_mark, "piece int, bits binary").repartition("piece").mapInArrow(_either, "piece int, bits binary").collect():  # BITS / 8 bytes at most
+        bitmap[k * PIECE : (k + 1) * PIECE] = np.frombuffer(zlib.decompress(x), np.uint8)
+    sent = spark.sparkContext.broadcast(bitmap)
+    hits = keyed(docs, "doc_id").mapInArrow(lambda it: _seeds(it, 2, sent.value), _SEED)
+    items = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"), F.col("around").alias("item_around"))
+    pairs = hits.join(items, "hash").select("id", "mark", "item_id", "pos", "n", "item_pos", "item_n", "around", "item_around")
+    return pairs.mapInArrow(_verify, "doc_id long, mark long, item_id long, word_from long, word_to long, matched long")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -128,27 +143,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     They overlap if 13 aligned words have at most two substitutions; an item of 8 to 12 words must occur
     whole, a shorter one is no evidence. word_from to word_to (exclusive) spans all such windows in the
     document, matched is the most equal words in one. Words are runs of letters and digits, A-Z
-    lower-cased. Null and empty texts overlap nothing; rows with equal doc_id or item_id are one document
-    or item, null ids are ids like others. Empty tables give an empty table; further columns play no part.
+    lower-cased, compared by 31-bit hashes. Null and empty texts overlap nothing; a very long text is one
+    row of a task, whose memory it needs a few times over. Rows with equal doc_id or item_id are one
+    document or item, null ids are ids like others. Empty tables give an empty table; further columns
+    play no part.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(lambda it: _seeds(it, 1, None), _SEED)
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    for k, x in items.select("hash").mapInArrow(_mark, "piece int, bits binary").repartition("piece").mapInArrow(_either, "piece int, bits binary").collect():  # BITS / 8 bytes at most
-        bitmap[k * PIECE : (k + 1) * PIECE] = np.frombuffer(zlib.decompress(x), np.uint8)
-    sent = spark.sparkContext.broadcast(bitmap)
-    hits = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda it: _seeds(it, 2, sent.value), _SEED)
-    items = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n").alias("item_n"), F.col("around").alias("item_around"))
-    pairs = hits.join(items, "hash").select("id", "item_id", "pos", "n", "item_pos", "item_n", "around", "item_around")
-    found = pairs.mapInArrow(_verify, "doc_id long, item_id long, word_from long, word_to long, matched long")
-    return found.groupBy("doc_id", "item_id").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"), F.max("matched").alias("matched"))
+    return _windows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"), F.max("matched").alias("matched"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id overlaps an item; all columns stay."""
-    bad = overlaps(docs, benchmark).select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    """``docs`` without the rows whose own text overlaps an item (as ``overlaps`` has it); all columns stay.
+
+    A row goes by its id and text together, so another row of its doc_id, or another without one, stays
+    unless its text overlaps too.
+    """
+    bad = _windows(docs, benchmark).select("doc_id", "mark").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("at"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("at") == F.col("mark")), "left_anti").select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
