@@ -1,21 +1,24 @@
 """Exact top-k by inner product with Fagin's threshold algorithm.
 
-Rows and queries are dealt into blocks; each pair of a row block and a query block is one group. In a
-group every dimension has a list of its rows sorted by that component. A query walks all lists from
-the end its sign favours, in growing steps, scores each row on first sight, and stops when the bound
-on unseen rows (the sum over dimensions of its component times the list's current value) cannot beat
-its k-th score. The k best of each row block merge into the k best of all.
+Rows are dealt into blocks, and a block's rows are sorted once: every dimension has a list of them by
+that component. All queries are sent to each block and pass by its lists in a stream, so a task holds a
+block and one batch of queries. A query walks all lists from the end its sign favours, in growing steps,
+scores each row on first sight, and stops when the bound on unseen rows (the sum over dimensions of its
+component times the list's current value) cannot beat its k-th score. The k best of each row block merge
+into the k best of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows and queries a block; list entries read at a time.
-ROWS, QUERIES, STRIDE = 8192, 1024, 64
+#: Rows a block at most, and at least where there are more tasks than blocks; list entries read at first.
+ROWS, FEWEST, STRIDE = 1 << 15, 1 << 11, 64
 SCALE = 1024
 
 
@@ -59,24 +62,47 @@ def threshold_search(q: np.ndarray, rows: np.ndarray, ids: np.ndarray, order: np
     return best
 
 
-def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    out: list[tuple[int, int, int]] = []
-    if queries.num_rows and rows.num_rows:
-        def matrix(table: pa.Table):
-            ids = table.column("id").to_numpy()
-            flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            by_id = np.argsort(ids, kind="stable")
-            return ids[by_id], flat[by_id].astype(np.int64)
-
-        qs, qv = matrix(queries)
-        ids, v = matrix(rows)
-        order = np.argsort(v, axis=0, kind="stable").T.copy()
-        if v.shape[1] * max(1, int(np.abs(v).max(initial=0))) * max(1, int(np.abs(qv).max(initial=0))) < 1 << 53:
-            v, qv = v.astype(np.float64), qv.astype(np.float64)  # whole numbers this small stay exact
-        for own, q in zip(qs.tolist(), qv):
-            best = threshold_search(q, v, ids, order, own, k)
-            out += zip([own] * len(best), ids[best].tolist(), map(int, (v[best] @ q).tolist()))
-    return pa.table([pa.array(x, pa.int64()) for x in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+class _Block:
+    """A block's rows in ascending order of id, and for each dimension their numbers in ascending order of that component."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[by_id], rows[by_id]
+        self.order = np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32)
+        self.most = self.rows.shape[1] * max(1, int(np.abs(self.rows).max(initial=0)))
+        self.floats = self.rows.astype(np.float64)
+
+    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        small = self.most * max(1, int(np.abs(q).max(initial=0))) < 1 << 53  # whole numbers this small stay exact
+        rows, q = (self.floats, q.astype(np.float64)) if small else (self.rows, q)
+        best = threshold_search(q, rows, self.ids, self.order, own, k)
+        return self.ids[best], (rows[best] @ q).astype(np.int64)
+
+
+def _search(batches: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Batches come sorted by block, dimensions and asking: a block's rows first, then the queries."""
+    at, ids, rows, block = None, [], [], None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        id_, (v, of) = batch.column(3).to_numpy(), (batch.column(4).flatten().to_numpy(), batch.column(4).offsets.to_numpy())
+        begin = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if batch.num_rows else ()
+        found: list[tuple] = []
+        for a, b in zip(begin, np.append(begin[1:], batch.num_rows)):
+            own, dim, asking = key[:, a].tolist()
+            if at != (own, dim):
+                at, ids, rows, block = (own, dim), [], [], None
+            values = v[of[a] - of[0] : of[b] - of[0]].reshape(b - a, dim).astype(np.int64)
+            if not asking:
+                ids.append(id_[a:b])
+                rows.append(values)
+            elif ids:
+                block = block or _Block(np.concatenate(ids), np.concatenate(rows))
+                rows = []
+                for q, x in zip(id_[a:b].tolist(), values):
+                    best, score = block.search(q, x, k)
+                    found.append((np.full(len(best), q), best, score))
+        cols = map(np.concatenate, zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        yield pa.record_batch([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
@@ -85,19 +111,17 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     Both tables are ``(id, v)`` as ``quantized`` gives them; a row with the query's id is not its
     candidate. Repeated ids among the rows are candidates each; repeated queries count once. Vectors of
     another length than the query's are no candidates. Fewer than k candidates give fewer rows, an empty
-    table none. A row with a null id takes no part.
+    table none. A row with a null id takes no part; further columns play none.
     """
     spark = rows.sparkSession
     queries, rows = (x.where("id IS NOT NULL").select("id", "v", F.size("v").alias("dim")) for x in (queries, rows))
     queries = queries.dropDuplicates(["id"])
-    n, m = rows.count(), queries.count()
-    row_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS)) if n > ROWS else 1
-    query_blocks = max(1, -(-m // QUERIES))
-    # every row block meets every query block once: both are sent to all blocks of the other
-    rows = rows.withColumns({"rb": F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)), "qb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long")))})
-    queries = queries.withColumns({"qb": F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "rb": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long")))})
-    keys = ["dim", "rb", "qb"]
-    found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda q, r: _search(q, r, k), "query_id long, vec_id long, score long")
+    n, parts = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, min(parts, n // FEWEST), -(-n // ROWS))
+    sent = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "dim", F.lit(0).alias("asking"), "id", "v")
+    every = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dim", F.lit(1).alias("asking"), "id", "v")
+    dealt = sent.unionByName(every).repartitionById(blocks, "block").sortWithinPartitions("block", "dim", "asking")
+    found = dealt.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
