@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import drop, fresh_path, written
@@ -124,7 +124,7 @@ def _count(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], codes: np.ndarray, length: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], codes: np.ndarray, length: np.ndarray, width: int, most: int) -> Iterator[pa.RecordBatch]:
     part, block, before = TaskContext.get().partitionId(), 0, 0
     docs: list = []
     raws: list[bytes] = []
@@ -142,18 +142,20 @@ def _blocks(batches: Iterable[pa.RecordBatch], codes: np.ndarray, length: np.nda
             docs.append(doc)
             raws.append(raw)
             held += len(raw) // width
-            if held >= BLOCK:
+            if held >= most:
                 yield flush()
                 block, before, held, docs, raws = block + 1, before + held, 0, [], []
     if docs:
         yield flush()
 
 
-def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, longest: int = LONGEST) -> None:
+def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, longest: int = LONGEST, block: int = BLOCK) -> None:
     """Encode all texts and write their ids under ``path`` (blocks, codebook) in ascending doc_id order.
 
-    Null texts are empty: they have the end id alone. Rows with equal doc_id follow each other in
-    order of their text's hash, null doc_ids come first. An empty table writes no blocks.
+    A block ends with the document that brings it to ``block`` ids, so a very long text is one block.
+    Null and empty texts have the end id alone. Rows with equal doc_id follow each other in order of their
+    text's hash, null doc_ids come first; repeated rows are written each. An empty table writes no
+    blocks; further columns play no part.
     """
     spark, width = docs.sparkSession, width_of(tokenizer)
     tokens, made = written(token_table(docs, tokenizer, end), "ids")
@@ -164,35 +166,40 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, longest: int
     codes = canonical_codes(length)
     used = np.flatnonzero(length)
     spark.createDataFrame([(int(i), int(length[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (8 * BLOCK)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (8 * block)))
     ordered = tokens.select("doc_id", "ids", "mark").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
     sent = spark.sparkContext.broadcast((codes, length))
-    ordered.mapInArrow(lambda it: _blocks(it, *sent.value, width), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(lambda it: _blocks(it, *sent.value, width, block), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop(spark, made)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of each document, from the files alone; ids are little-endian unsigned 32-bit numbers."""
-    book = spark.read.parquet(f"{path}/codebook").collect()
+    """``(doc_id, start, n_tokens, ids)`` of each document, from the files alone; ids are little-endian unsigned 32-bit numbers.
+
+    start counts the ids of all documents before. Files without blocks give an empty table.
+    """
+    book = spark.read.parquet(f"{path}/codebook").collect()  # a row an id of the vocabulary
     length = np.zeros(max((r.id for r in book), default=-1) + 1, np.int64)
     length[[r.id for r in book]] = [r.bits for r in book]
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # ids before each file: sums of runs of files, then within a run, so that no task has all files
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)
-    parts = sorted(tuple(r) for r in blocks.groupBy("part").agg(F.sum(size).alias("n")).collect())  # a row a file
-    base = dict(zip((p for p, _ in parts), np.concatenate(([0], np.cumsum([n for _, n in parts]))).tolist()))
-    sent = spark.sparkContext.broadcast((length, base))
+    files = blocks.groupBy("part").agg(F.sum(size).alias("n")).withColumn("run", F.shiftright("part", 10))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = files.groupBy("run").agg(F.sum("n").alias("n")).select("run", before(Window.orderBy("run")).alias("base"))  # a row a thousand files
+    starts = files.withColumn("own", before(Window.partitionBy("run").orderBy("part"))).join(runs, "run").select("part", (F.col("base") + F.col("own")).alias("start"))
+    sent = spark.sparkContext.broadcast(length)
 
     def run(batches):
-        length, base = sent.value
-        table = decode_table(length)
+        table = decode_table(sent.value)
         for batch in batches:
-            for part, before, docs, sizes, offsets, bits in zip(*(x.to_pylist() for x in batch.columns)):
+            for first, docs, sizes, offsets, bits in zip(*(x.to_pylist() for x in batch.columns)):
                 count = np.array(sizes, np.int64)
                 ids = decode_block(int(count.sum()), offsets, bits, table)
-                start = base[part] + before + np.cumsum(count) - count
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(start), pa.array(count), packed(ids.astype("<u4"), count)], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(first + np.cumsum(count) - count), pa.array(count), packed(ids.astype("<u4"), count)], ["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.select("part", "before", "doc_ids", "sizes", "offsets", "bits").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = blocks.join(starts, "part").select((F.col("start") + F.col("before")).alias("start"), "doc_ids", "sizes", "offsets", "bits")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_ids(spark, sf_dir: str, tokenizer: str | None = None, end: int = 0) -> DataFrame:
