@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 from llm_corpus import FOLD, WORD
+from pyspark.sql import functions as F
 
 from shoal.llm import lines, simhash, substrings
 from shoal.llm.components import components
@@ -18,15 +19,13 @@ def counted(items):
 
 
 def test_lines_against_brute_force(docs, clashing, rows):
-    held = defaultdict(set)
-    ids = defaultdict(set)
+    held = defaultdict(set)  # documents: rows of one doc_id are one, rows without are one each
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
     for k, (i, t) in enumerate(rows):
         for x in (t or "").split("\n"):
             if len(key(x)) >= 20:
-                held[key(x)].add(k)
-                ids[key(x)].add(i)
-    keeper = {x: max((i for i in ids[x] if i is not None), default=None) for x in held if len(held[x]) >= 3}
+                held[key(x)].add((i is not None, k if i is None else i))
+    keeper = {x: max((i for named, i in held[x] if named), default=None) for x in held if len(held[x]) >= 3}
     want = []
     for i, t in rows:
         all_lines = (t or "").split("\n")
@@ -38,6 +37,22 @@ def test_lines_against_brute_force(docs, clashing, rows):
     assert sum(w[2] for w in want) > 10
 
 
+def test_rows_of_one_document_count_once(spark):
+    line = "a line of more than twenty letters"
+    two = [(1, line), (1, line), (2, line)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_dropped for r in lines.drop_repeated_lines(table(two)).collect()] == [0, 0, 0]
+    got = lines.drop_repeated_lines(table([*two, (3, "x\n" + line + "\n" + line)])).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_dropped, r.kept) for r in got] == [(1, 1, ""), (1, 1, ""), (2, 1, ""), (3, 0, "x\n" + line + "\n" + line)]
+
+
+def test_many_dropped_lines_of_one_long_text(spark):
+    """Positions are looked up by hash: 40 000 lines, half of them dropped."""
+    text = "\n".join(f"a repeated line, number {k // 2:6}" if k % 2 else str(k) for k in range(40_000))
+    got = {r.doc_id: r for r in lines.drop_repeated_lines(spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string")).collect()}
+    assert got[2].n_dropped == 0 and got[0].n_dropped == 20_000 and got[0].kept == "\n".join(str(k) for k in range(0, 40_000, 2))
+
+
 def test_full_filter_still_exact(docs, monkeypatch):
     want = counted(map(tuple, lines.drop_repeated_lines(docs).select("doc_id", "n_dropped", "kept").collect()))
     monkeypatch.setattr(lines, "MOST_BITS", 1 << 20)
@@ -123,6 +138,20 @@ def test_links_of_large_families(spark):
         assert all(len(x) == 1 for x in got.values()) and len(got) == len(set(want))
 
 
+def test_keys_are_made_in_many_tasks(spark):
+    """The fingerprints are dealt round robin before their 66 keys, so neither the optimizer nor a small table joins the tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    seen = []
+    plain = simhash._variants
+    try:
+        simhash._variants = lambda df: seen.append(df) or plain(df)
+        simhash.fingerprint_links(fps)
+    finally:
+        simhash._variants = plain
+    assert "RoundRobinPartitioning(%d)" % n in seen[0]._jdf.queryExecution().toString() and seen[0].rdd.getNumPartitions() == n
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     assert dict(map(tuple, components(chain).collect())) == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shoal.llm import decontaminate, quality, sharding, topk, toxicity
+from shoal.llm.text import chunks
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,6 +71,128 @@ def test_maximal_segments():
             _, _, i, j = min((x for x in spans if abs(x[0] - top) < 1e-9), key=lambda x: (x[3] - x[2], x[2]))
             return split(a, i) + [top] + split(j, b)
         assert abs(sum(x[2] for x in got) - sum(split(0, len(s)))) < 1e-9
+        # and by what makes a segment maximal: it beats all within it, and no larger one does
+        total = [0.0]
+        for x in s:
+            total.append(total[-1] + x)
+        sound = [(a, b) for a in range(len(s)) for b in range(a + 1, len(s) + 1) if all(total[a] < t for t in total[a + 1 : b + 1]) and all(total[b] > t for t in total[a:b])]
+        want = [x for x in sound if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in sound)]
+        assert [x[:2] for x in got] == sorted(want)
+
+
+@pytest.mark.parametrize("pair", [(1.0, -3.0), (3.0, -1.0), (1.0, -1.0)])
+def test_segments_take_linear_time(pair):
+    """Clean text (isolated positive words) and toxic text alike: twice the words, twice the time."""
+    def seconds(n):
+        s = np.array(pair * n)
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            toxicity.maximal_segments(s)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(64_000) < 8 * seconds(16_000) + 0.05
+
+
+def test_word_scores_against_the_chain_of_priors(spark):
+    """Counts of texts by label, smoothed from the shorter prefix to the word."""
+    data = [(0, "spiteful spites cafés", 1), (1, "spiteful words", 1), (2, "spites spit words", 0), (3, "words", 0), (4, "cafés words", 0)]
+    batch = pa.record_batch([pa.array([t for _, t, _ in data]), pa.array([y for *_, y in data], pa.int32())], ["text", "y"])
+    levels, _ = toxicity._bins(next(chunks([batch])))
+    odds = [np.zeros(toxicity._LEVELS * toxicity.BINS, np.float32) for _ in (0, 1)]
+    for part in toxicity._summed(toxicity._counts([batch])):
+        for k, x in zip(*(c.to_pylist() for c in part.columns)):
+            own = np.frombuffer(x, np.int32)
+            odds[k // 1000][(k % 1000) << 13 : ((k % 1000) << 13) + len(own)] = own
+    got = toxicity.Model(odds, 0.4, shift=0.0).word_scores(levels)
+    words = [(k, w.encode()) for k, t, _ in data for w in t.split()]
+    label = {k: y for k, _, y in data}
+    want = []
+    for _, w in words:
+        p = 0.4
+        for cut in (4, 5, 100):
+            texts = {k for k, v in words if v[:cut] == w[:cut]}
+            n = [sum(label[k] == y for k in texts) for y in (0, 1)]
+            p = (n[1] + toxicity.PRIOR * p) / (sum(n) + toxicity.PRIOR)
+        want.append(min(max(np.log(p / (1 - p)) - np.log(0.4 / 0.6), toxicity.LOW), toxicity.HIGH))
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_calibration_of_segments():
+    """The logistic fit beats its neighbours, and a text's evidence is the best sum of its segments."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x - 1)))).astype(float)
+    loss = lambda a, b: np.logaddexp(0, a * x + b).sum() - (y * (a * x + b)).sum() + 5e-4 * a * a
+    a, b = toxicity._fit_logistic(x, y, np.ones(400))
+    assert all(loss(a, b) <= loss(a + d, b + e) + 1e-6 for d in (-0.05, 0, 0.05) for e in (-0.05, 0, 0.05))
+    model = toxicity.Model([], 0.1, rate=0.7, log_k=-1.0)
+    scores = np.array([9.0, 2.0, 8.0])
+    each = sorted((0.7 * s + 1.0 - np.log(50) for s in [*scores, 0.0]), reverse=True)
+    each = [e for e in each if e > 0] or each[:1]
+    want = max(sum(each[:r]) - (r - 1) * np.log(max(sum(each[:r]), 1)) + sum(np.log(range(1, r + 1))) + sum(np.log(range(1, r))) for r in range(1, len(each) + 1))
+    assert abs(model.evidence(scores, 50) - want) < 1e-9
+
+
+def test_word_vectors_and_pooling_against_brute_force(spark, docs, rows):
+    batch = pa.record_batch([pa.array([t for _, t in rows])], ["text"])
+    at, sign = quality.index_vectors()
+    total = np.zeros((quality.BINS, quality.DIMS))
+    tokens = []
+    for c in chunks([batch]):
+        own, of = quality._tokens(c)
+        tokens += [x.tolist() for x in np.split(own, of[1:-1])]
+    for own in tokens:
+        if len(own) > 5000:  # the longest text's neighbours at once, the others one by one
+            for r in (1, 2):
+                for a, b in ((own[:-r], own[r:]), (own[r:], own[:-r])):
+                    for d in (0, 1):
+                        np.add.at(total, (a, at[d][b]), sign[d][b])
+            continue
+        for k, w in enumerate(own):
+            for j in range(max(0, k - 2), min(len(own), k + 3)):
+                if j != k:
+                    for d in (0, 1):
+                        total[w, at[d][own[j]]] += sign[d][own[j]]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    want = total / np.where(norm > 0, norm, 1)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-6)
+    assert (quality.word_vectors(docs.repartition(1)) == got).all()  # whatever the partitions
+    means = np.concatenate([quality.pooled(c, got) for c in chunks([batch])])
+    assert np.allclose(means, [got[x].astype(float).mean(axis=0) if x else np.zeros(quality.DIMS) for x in tokens], atol=1e-6)
+
+
+def test_gradient_and_temperature():
+    rng = np.random.default_rng(0)
+    z, y = rng.normal(size=(20, 4)), (rng.random(20) < 0.5).astype(float)
+    p = [rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+
+    def loss():
+        s = np.tanh(z @ p[0] + p[1]) @ p[2] + p[3][0]
+        return np.mean(np.logaddexp(0, s) - y * s) + quality.DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+
+    for a, g in zip(p, quality.gradients(p, z, y)):
+        for k in np.ndindex(a.shape):
+            a[k] += 1e-5
+            up = loss()
+            a[k] -= 2e-5
+            down = loss()
+            a[k] += 1e-5
+            assert abs((up - down) / 2e-5 - g[k]) < 1e-6
+    logits = rng.normal(size=4000) * 3
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-logits / 2))).astype(float)  # twice too sure
+    assert 1.7 < quality.best_temperature(logits, truth) < 2.4
+
+
+def test_quality_ignores_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    flipped = labels.withColumn("quality", F.when(fold == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (dict(quality.score(docs, quality.train(docs, x.where(fold != 1))).select("doc_id", "score").collect()) for x in (labels, flipped))
+    assert a == b
 
 
 def test_toxic_passage_is_found(spark):
@@ -132,11 +257,25 @@ def test_overlaps_against_brute_force(spark, clashing, empty):
     assert decontaminate.overlaps(empty, bench).count() == 0 and decontaminate.decontaminated(clashing, bench.limit(0)).count() == clashing.count()
 
 
-def test_top_k_against_brute_force(spark):
+def test_decontamination_goes_by_row(spark):
+    """Of rows without doc_id, or of one doc_id, only those go whose own text overlaps; a very long text is read to its end."""
+    item = " ".join(f"t{k}" for k in range(15))
+    long = "filler " * 200_000 + item
+    rows = [(None, "so " + item), (None, "clean"), (9, "clean"), (7, item), (7, "other"), (8, long), (5, None)]
+    table = spark.createDataFrame([(i, t, "m", "h") for i, t in rows], "doc_id long, text string, mark string, at string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = Counter(tuple(r) for r in decontaminate.decontaminated(table, bench).collect())
+    assert got == Counter((i, t, "m", "h") for i, t in [rows[1], rows[2], rows[4], rows[6]])
+    assert decontaminate.overlaps(table.where("doc_id = 8"), bench).first().word_to == 200_015
+
+
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_top_k_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", block)  # one block, or seven whose results merge
     rng = np.random.default_rng(0)
     data = [(int(k), [float(x) for x in np.round(rng.normal(size=8), 1)]) for k in range(400)]
     data += [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [1.0, 2.0]), (405, [0.0] * 8), (7, data[7][1]), (None, [1.0] * 8), (300 + 1000, data[3][1])]
-    table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("v", F.lit("clash"))
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("id", "v", "dim", "block", "asking")})
     rows = topk.quantized(table)
     got = defaultdict(list)
     for r in topk.top_k(rows.where("id % 20 = 0 OR id = 405 OR id = 404"), rows).orderBy("query_id", "rank").collect():

@@ -81,8 +81,9 @@ def test_blocks_round_trip():
 def test_files_round_trip(spark, docs, clashing, empty, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     want = Counter((i, tuple(x)) for (i, _), x in zip(rows, reference("byte_bpe_50k.json", [t for _, t in rows], 0)))
-    for table in (docs, clashing):
-        huffman.write_ids(table, path, 0, to := fresh_path(spark, "test"))
+    for table, block in ((docs, huffman.BLOCK), (clashing, 5000)):  # one block a file, or several
+        huffman.write_ids(table, path, 0, to := fresh_path(spark, "test"), block=block)
+        assert (spark.read.parquet(f"{to}/blocks").where("block > 0").count() > 0) == (block == 5000)
         got = huffman.read_ids(spark, to).orderBy("start").collect()
         assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
         at = 0
