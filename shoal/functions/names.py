@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ BRACKETED = r"^\[([^\]]+)\]\s*(.*?)(?:\s*\(([^)]+)\))?$"
 EPISODE = r"(?:[-_\s](?:E(?:P)?|EP|ep)?(\d{1,4})|[-_\s](\d{1,4})[-_\s])"
 RESOLUTION = r"(?i)(\d{3,4}p)"
 GROUP = r"^\[([^\]]+)\]"
+#: What stands before an episode without a leading group in brackets and separators at its end.
+TITLE = r"^(?:[^\]]*\]|[^)]*\)|[\[(]*)(.*?)[-_ .]*$"
 PAGE_MARKS = ("illust_", "_p0", "_p1", "_p2", "_p3")
 #: Digits of an epoch number and how many of them make a second.
 EPOCHS = {10: 1, 13: 1_000, 16: 1_000_000}
@@ -74,7 +77,7 @@ def parse_epoch(name: Column) -> Column:
     hits = F.filter(parts, lambda p: (seconds(p) >= low) & (seconds(p) < high))
     part = F.get(hits, F.lit(0))
     time = F.timestamp_seconds(seconds(part))
-    return _match("epoch", part.isNotNull(), some(tagged("date", F.date_format(time, "yyyy-MM-dd"))), epoch=part, iso=F.date_format(time, "yyyy-MM-dd HH:mm:ss 'UTC'"))
+    return _match("4chan_timestamp", part.isNotNull(), some(tagged("date", F.date_format(time, "yyyy-MM-dd"))), epoch=part, iso=F.date_format(time, "yyyy-MM-dd HH:mm:ss 'UTC'"))
 
 
 def parse_pixiv(name: Column) -> Column:
@@ -102,22 +105,22 @@ def parse_tagged(name: Column) -> Column:
 
 
 def parse_episode(name: Column) -> Column:
-    """Title, episode, resolution and group; partial without title or episode, no match without any of them."""
-    number = F.coalesce(group(name, EPISODE, 1), group(name, EPISODE, 2))
-    found = name.rlike(EPISODE)
-    before = F.regexp_extract(name, r"^(.*?)" + EPISODE, 1)
-    before = F.regexp_replace(before, r"[-_ .]+$", "")
-    opened = F.ltrim(F.regexp_replace(before, r"^[\[(]+", ""))
-    close = F.when(opened.contains("]"), F.regexp_replace(opened, r"^[^\]]*\]", "")).when(opened.contains(")"), F.regexp_replace(opened, r"^[^)]*\)", "")).otherwise(opened)
-    title = F.trim(F.regexp_replace(F.trim(close), r"[_.]", " "))
-    after = F.regexp_replace(name, r"^.*?" + EPISODE, "")
-    quality = F.lower(F.coalesce(group(after, RESOLUTION, 1), group(name, RESOLUTION, 1)))
-    named = found & (title != "")
-    tags = some(F.when(named, tagged("title", title)), F.when(found, tagged("episode", number)), F.when(found & quality.isNotNull(), tagged("resolution", quality)), tagged("group", group(name, GROUP, 1)))
-    return _match("episode", F.size(tags) > 0, tags, partial=~named)
+    """Title, episode, resolution and group; partial without title or episode, no match without any of them.
 
+    One pattern cuts the name at its first episode number; another takes the title out of what stands before.
+    """
+    cut = "^(.*?)" + EPISODE + "(.*)$"
+    before, after = F.regexp_extract(name, cut, 1), F.regexp_extract(name, cut, 4)
+    number = F.coalesce(group(name, cut, 2), group(name, cut, 3))
+    title = F.trim(F.translate(F.regexp_extract(before, TITLE, 1), "_.", "  "))
+    whole = number.isNotNull() & (title != "")
+    quality = F.coalesce(group(after, RESOLUTION, 1), group(name, RESOLUTION, 1))
+    tags = some(F.when(whole, tagged("anime", title)), tagged("episode", number), F.when(number.isNotNull(), tagged("resolution", F.lower(quality))), tagged("group", group(name, GROUP, 1)))
+    return _match("anime_screenshot", F.size(tags) > 0, tags, partial=~whole)
 
-RULES = {"epoch": parse_epoch, "pixiv": parse_pixiv, "twitter": parse_twitter, "tagged": parse_tagged, "episode": parse_episode}
+
+#: The rules by the names that stored rules use.
+RULES = {"4chan_timestamp": parse_epoch, "pixiv_id": parse_pixiv, "twitter_key": parse_twitter, "tagged_string": parse_tagged, "anime_screenshot": parse_episode}
 
 
 def positional(pattern: str) -> tuple[str, list[str | None]]:
@@ -159,19 +162,51 @@ def parse_custom(name: Column, pattern: str) -> Column:
     return _match("custom_regex", name.rlike(plain), some(*tags), artist=field("artist"), pixiv_id=field("pixiv_id"), twitter_id=field("twitter_id"), epoch=field("timestamp"), iso=F.date_format(time, "yyyy-MM-dd HH:mm:ss 'UTC'"))
 
 
-#: What a block of a token rule matches.
-BLOCKS = {"artist": r"[A-Za-z0-9_\-\s]+", "pixiv_id": r"\d{7,10}", "twitter_id": r"[A-Za-z0-9_-]{15,25}", "timestamp": r"\d{10,16}", "tag": r"[A-Za-z0-9_\-]+", "number": r"\d+", "any": r".+?"}
+#: The group that a block of a token rule fills, and what it matches.
+BLOCKS = {
+    "artist": ("artist", r"[A-Za-z0-9_\-\s]+"),
+    "timestamp_4chan": ("timestamp", r"\d{10,16}"),
+    "pixiv_id": ("pixiv_id", r"\d{7,10}"),
+    "twitter_id": ("twitter_id", r"[A-Za-z0-9_-]{15,25}"),
+    "number": ("number", r"\d+"),
+    "md5_hash": ("hash", r"[0-9a-f]{32}"),
+    "wildcard": ("wildcard", r".*?"),
+    "tag": ("tag", r"[A-Za-z0-9_\-]+"),
+    "bracketed": ("bracketed", r"[^\]]+"),
+}
+
+
+@dataclass
+class Block:
+    """A block of a token rule: one of BLOCKS, ``delimiter`` (a literal ``value``, ``_`` by default) or ``whitespace``.
+
+    ``label`` names its group, a block that isn't ``enabled`` must match but gives nothing, ``prefix`` is a
+    literal that may stand before it. Blocks of other kinds count for nothing.
+    """
+
+    kind: str
+    value: str | None = None
+    label: str | None = None
+    enabled: bool = True
+    prefix: str | None = None
+
+    def pattern(self) -> str:
+        if self.kind == "delimiter":
+            own = re.escape("_" if self.value is None else self.value)
+        elif self.kind == "whitespace":
+            own = r"\s*"
+        elif self.kind in BLOCKS:
+            name, inner = BLOCKS[self.kind]
+            own = f"(?P<{'' if self.enabled else '_skip_'}{self.label or name}>{inner})"
+            own = rf"\[{own}\]" if self.kind == "bracketed" else own
+        else:
+            return ""
+        return own if self.prefix is None else f"(?:{re.escape(self.prefix)})?{own}"
 
 
-def token_pattern(blocks: list[tuple[str, str, bool]], prefix: str = "") -> str:
-    """An anchored pattern from ``(kind, value, enabled)`` blocks: literals, typed blocks, and disabled ones that match but are dropped."""
-    out = re.escape(prefix) if prefix else ""
-    for k, (kind, value, enabled) in enumerate(blocks):
-        if kind == "literal":
-            out += re.escape(value)
-        else:
-            out += f"(?P<{value or kind if enabled else f'_skip_{k}'}>{BLOCKS[kind]})"
-    return f"^{out}$"
+def token_pattern(blocks: list[Block]) -> str:
+    """An anchored pattern for ``parse_custom``."""
+    return "^" + "".join(b.pattern() for b in blocks) + "$"
 
 
 def parsed(paths: DataFrame, rule: str, **options) -> DataFrame:
@@ -238,7 +273,7 @@ STEM = "WITH s AS (SELECT id, is_deleted, is_missing, regexp_replace(regexp_extr
 
 @query("parse_epoch", STEM + ", p AS (SELECT id, stem, make_timestamp(CAST(stem AS BIGINT) * 1000000) AS t FROM s WHERE regexp_full_match(stem, '\\d{10}') AND CAST(stem AS BIGINT) BETWEEN 1041379200 AND 1924991999) SELECT id, stem AS timestamp, strftime(t, '%Y-%m-%d %H:%M:%S UTC') AS datetime_iso, 'date:' || strftime(t, '%Y-%m-%d') AS tags FROM p", "assets")
 def _parse_epoch(t):
-    return parsed(t.assets, "epoch").select("id", "timestamp", "datetime_iso", F.array_join("tags", "|").alias("tags"))
+    return parsed(t.assets, "4chan_timestamp").select("id", "timestamp", "datetime_iso", F.array_join("tags", "|").alias("tags"))
 
 
 @query("parse_pixiv", STEM + r""", m AS (SELECT *, regexp_extract(stem, 'illust_(\d+)(?:_(\d{8})_(\d{6}))?', 1) AS i, regexp_extract(stem, 'illust_(\d+)(?:_(\d{8})_(\d{6}))?', 2) AS d,
@@ -246,22 +281,26 @@ def _parse_epoch(t):
 SELECT id, CASE WHEN i = '' THEN nullif(a, '') END AS artist, coalesce(nullif(i, ''), n) AS pixiv_id, CASE WHEN i <> '' THEN 'pixiv:' || i || CASE WHEN d <> '' THEN '|date:' || d[1:4] || '-' || d[5:6] || '-' || d[7:8] ELSE '' END ELSE 'pixiv:' || n || '|page:' || p || CASE WHEN a <> '' THEN '|artist:' || a ELSE '' END END AS tags
 FROM m WHERE (contains(stem, 'illust_') OR regexp_matches(stem, '_p[0-3]')) AND (i <> '' OR n <> '')""", "assets")
 def _parse_pixiv(t):
-    return parsed(t.assets, "pixiv").select("id", "artist", "pixiv_id", F.array_join("tags", "|").alias("tags"))
+    return parsed(t.assets, "pixiv_id").select("id", "artist", "pixiv_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query("parse_twitter", STEM + r", m AS (SELECT id, coalesce(nullif(regexp_extract(stem, '([a-zA-Z0-9_-]+-\d{18,20})', 1), ''), nullif(regexp_extract(stem, '(?:media_|status_)?([A-Za-z0-9_-]{15,25})', 1), '')) AS twitter_id FROM s WHERE contains(stem, 'media_') OR contains(stem, 'status_')) SELECT id, twitter_id, 'twitter:' || twitter_id AS tags FROM m WHERE twitter_id IS NOT NULL", "assets")
 def _parse_twitter(t):
-    return parsed(t.assets, "twitter").select("id", "twitter_id", F.array_join("tags", "|").alias("tags"))
+    return parsed(t.assets, "twitter_key").select("id", "twitter_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query("parse_tagged", STEM + r", m AS (SELECT id, trim(regexp_extract(stem, '^\[([^\]]+)\]\s*(.*?)(?:\s*\(([^)]+)\))?$', 1)) AS artist, regexp_extract(stem, '^\[([^\]]+)\]\s*(.*?)(?:\s*\(([^)]+)\))?$', 3) AS w FROM s WHERE regexp_matches(stem, '^\[([^\]]+)\]\s*(.*?)(?:\s*\(([^)]+)\))?$')) SELECT id, artist, concat_ws('|', 'artist:' || artist, nullif(array_to_string(list_filter(regexp_split_to_array(w, '[ ,]'), lambda x: x <> ''), '|'), '')) AS tags FROM m", "assets")
 def _parse_tagged(t):
-    return parsed(t.assets, "tagged").select("id", "artist", F.array_join("tags", "|").alias("tags"))
+    return parsed(t.assets, "tagged_string").select("id", "artist", F.array_join("tags", "|").alias("tags"))
 
 
-@query("parse_episode")
+@query("parse_episode", STEM + f""", c AS (SELECT id, stem, regexp_extract(stem, '^(.*?){EPISODE}(.*)$', ['before', 'n1', 'n2', 'after']) AS c FROM s),
+n AS (SELECT id, stem, coalesce(nullif(c.n1, ''), nullif(c.n2, '')) AS n, trim(translate(regexp_extract(c.before, '{TITLE}', 1), '_.', '  ')) AS title, c.after AS after FROM c),
+p AS (SELECT *, n IS NOT NULL AND title <> '' AS whole, lower(coalesce(nullif(regexp_extract(after, '{RESOLUTION}', 1), ''), nullif(regexp_extract(stem, '{RESOLUTION}', 1), ''))) AS q, nullif(regexp_extract(stem, '{GROUP}', 1), '') AS g FROM n),
+o AS (SELECT id, stem, concat_ws('|', CASE WHEN whole THEN 'anime:' || title END, 'episode:' || n, CASE WHEN n IS NOT NULL THEN 'resolution:' || q END, 'group:' || g) AS tags, NOT whole AS partial FROM p)
+SELECT * FROM o WHERE tags <> ''""", "assets")
 def _parse_episode(t):
-    return parsed(t.assets, "episode").select("id", "stem", F.array_join("tags", "|").alias("tags"), "partial")
+    return parsed(t.assets, "anime_screenshot").select("id", "stem", F.array_join("tags", "|").alias("tags"), "partial")
 
 
 @query("parse_custom", STEM + r" SELECT id, nullif(trim(regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 1)), '') AS artist, regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 2) AS pixiv_id, 'artist:' || regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 1) || '|pixiv:' || regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 2) || '|page_no:' || regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 3) AS tags FROM s WHERE regexp_matches(stem, '^(.+)_(\d{8})_p(\d)$')", "assets")
@@ -270,10 +309,10 @@ def _parse_custom(t):
     return t.assets.select("id", row.alias("m")).where("m IS NOT NULL").select("id", "m.artist", "m.pixiv_id", F.array_join("m.tags", "|").alias("tags"))
 
 
-@query("parse_tokens", STEM + r" SELECT id, regexp_extract(stem, '^clip_(\d+)$', 1) AS number, 'no:' || regexp_extract(stem, '^clip_(\d+)$', 1) AS tags FROM s WHERE regexp_matches(stem, '^clip_(\d+)$')", "assets")
+@query("parse_tokens", STEM + r" SELECT id, 'no:' || regexp_extract(stem, '^([A-Za-z0-9_\-]+)_(\d+)$', 2) AS tags FROM s WHERE regexp_matches(stem, '^([A-Za-z0-9_\-]+)_(\d+)$')", "assets")
 def _parse_tokens(t):
-    row = parse_custom(stem(F.col("path")), token_pattern([("tag", "", False), ("literal", "_", True), ("number", "no", True)]).replace(BLOCKS["tag"], "clip"))
-    return t.assets.select("id", row.alias("m")).where("m IS NOT NULL").select("id", F.regexp_extract(F.get("m.tags", F.lit(0)), r"(\d+)$", 1).alias("number"), F.array_join("m.tags", "|").alias("tags"))
+    row = parse_custom(stem(F.col("path")), token_pattern([Block("tag", enabled=False), Block("delimiter"), Block("number", label="no")]))
+    return t.assets.select("id", row.alias("m")).where("m IS NOT NULL").select("id", F.array_join("m.tags", "|").alias("tags"))
 
 
 @query("batch_parse", STEM + r""", m AS (SELECT id, regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 1) AS a, regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 2) AS n, regexp_extract(stem, '^(.+)_(\d{8})_p(\d)$', 3) AS p, regexp_extract(stem, 'illust_(\d+)', 1) AS i FROM s WHERE NOT is_deleted AND NOT is_missing AND (contains(stem, 'illust_') OR regexp_matches(stem, '^(.+)_(\d{8})_p(\d)$'))),
@@ -281,7 +320,7 @@ g AS (SELECT id, unnest(CASE WHEN i <> '' THEN ['pixiv:' || i, 'date:2023-05-13'
 SELECT CASE split_part(name, ':', 1) WHEN 'artist' THEN 'artist' WHEN 'date' THEN 'meta' WHEN 'pixiv' THEN 'source' ELSE 'general' END AS category, count(*) AS links, count(DISTINCT name) AS names FROM g WHERE id % 3 <> 0 OR name NOT LIKE 'artist:%' GROUP BY 1""", "assets")
 def _batch_parse(t):
     there = t.assets.where("id % 3 = 0").select(F.col("id").alias("image_id"), F.lit("artist:artist_name").alias("name"))
-    _, tags, links = batch_parse(t.assets, "pixiv", there)
+    _, tags, links = batch_parse(t.assets, "pixiv_id", there)
     return links.join(tags, "name").groupBy("category").agg(F.count("*").alias("links"), F.countDistinct("name").alias("names"))
 
 

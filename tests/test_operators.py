@@ -34,7 +34,10 @@ def parse(spark, name, rule, **options):
     ("media_FR49d0XWUAImXfA", names.parse_twitter, "twitter_id", "FR49d0XWUAImXfA", None),
     ("status_artist_handle-165244823700012345", names.parse_twitter, "twitter_id", "status_artist_handle-165244823700012345", None),
     ("[Kantoku] Shizuku (1girl solo blue_eyes)", names.parse_tagged, "artist", "Kantoku", ["artist:Kantoku", "1girl", "solo", "blue_eyes"]),
-    ("[Grp] Some_Show - 12 [1080p]", names.parse_episode, "partial", False, ["title:Some Show", "episode:12", "resolution:1080p", "group:Grp"]),
+    ("[Grp] Some_Show - 12 [1080p]", names.parse_episode, "partial", False, ["anime:Some Show", "episode:12", "resolution:1080p", "group:Grp"]),
+    ("[Grp] - 07 [720P]", names.parse_episode, "partial", True, ["episode:07", "resolution:720p", "group:Grp"]),
+    ("(Rip) A.Show_EP3", names.parse_episode, "match_type", "anime_screenshot", ["anime:A Show", "episode:3"]),
+    ("1652448237000", names.parse_epoch, "match_type", "4chan_timestamp", None),
 ])
 def test_names(spark, name, rule, field, value, tags):
     got = parse(spark, name, rule)
@@ -50,15 +53,30 @@ def test_names_without_match(spark):
 
 
 def test_token_rule(spark):
-    pattern = names.token_pattern([("artist", "", True), ("literal", "_", True), ("pixiv_id", "", True)])
+    B = names.Block
+    pattern = names.token_pattern([B("artist"), B("delimiter", "_"), B("pixiv_id")])
     assert pattern == r"^(?P<artist>[A-Za-z0-9_\-\s]+)_(?P<pixiv_id>\d{7,10})$"
     got = parse(spark, "Mineori_108521179", names.parse_custom, pattern=pattern)
     assert (got.artist, got.pixiv_id) == ("Mineori", "108521179")
-    hidden = names.token_pattern([("artist", "", False), ("literal", "_", True), ("pixiv_id", "", True)])
+    hidden = names.token_pattern([B("artist", enabled=False), B("delimiter"), B("pixiv_id")])
     assert parse(spark, "Mineori_108521179", names.parse_custom, pattern=hidden).artist is None
     assert parse(spark, "x", names.parse_custom, pattern="(") is None
 
 
+@pytest.mark.parametrize("blocks,name,tags", [
+    ([("timestamp_4chan", {}), ("delimiter", {"value": "-"}), ("number", {})], "1652448237-12", ["date:2022-05-13", "number:12"]),
+    ([("md5_hash", {}), ("whitespace", {}), ("bracketed", {"label": "by"})], "0123456789abcdef0123456789abcdef [me]", ["hash:0123456789abcdef0123456789abcdef", "by:me"]),
+    ([("wildcard", {}), ("delimiter", {}), ("twitter_id", {"prefix": "id="})], "any thing_id=FR49d0XWUAImXfA", ["twitter:FR49d0XWUAImXfA", "wildcard:any thing"]),
+    ([("wildcard", {}), ("delimiter", {}), ("twitter_id", {"prefix": "id="})], "_FR49d0XWUAImXfA", ["twitter:FR49d0XWUAImXfA"]),
+    ([("tag", {}), ("no such kind", {"prefix": "x"}), ("delimiter", {"value": "."}), ("number", {"enabled": False})], "blue_eyes.5", ["blue_eyes"]),
+    ([("tag", {}), ("tag", {})], "ab", None),  # two groups of one name are no pattern
+    ([("md5_hash", {})], "0123", None),
+])
+def test_token_blocks(spark, blocks, name, tags):
+    got = parse(spark, name, names.parse_custom, pattern=names.token_pattern([names.Block(k, **o) for k, o in blocks]))
+    assert (got and got.tags) == tags
+
+
 def test_sequence_decoding(spark):
     best = [1, 1, 0, 2, 3, 3, 0, 4]  # H H - E L L - O
     rows = [(0, k, c, 0.9 if c == b else 0.02) for k, b in enumerate(best) for c in range(5)]
