@@ -39,7 +39,7 @@ def sigmoid(x: Column) -> Column:
 def multilabel(logits: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """``(id, tag, category, score)`` of the classes at or above the threshold; unknown classes are ``unknown-i`` of ``general``."""
     scores = logits.select("id", F.posexplode("logits").alias("k", "x")).withColumn("score", sigmoid(F.col("x"))).where(F.col("score") >= threshold)
-    named = scores.join(F.broadcast(labels), "k", "left")
+    named = scores.join(labels, "k", "left")
     return named.select("id", F.coalesce("tag", F.concat(F.lit("unknown-"), F.col("k").cast("string"))).alias("tag"), F.coalesce("category", F.lit("general")).alias("category"), "score")
 
 

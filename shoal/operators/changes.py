@@ -23,7 +23,7 @@ def last_of(edits: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return one.select(*keys, "e.*")
 
 
-def numbered(rows: DataFrame, order: Sequence[str], base: Column | int = 0, name: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: Sequence[str | Column], base: Column | int = 0, name: str = "id") -> DataFrame:
     """Consecutive numbers from ``base`` + 1 in a total order, by sorted parts and their offsets: no task sees all rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
@@ -67,17 +67,17 @@ def library_upsert(library: DataFrame, scan: DataFrame) -> DataFrame:
     time and hash, keeps the first folder and undeletes; the rest is inserted under new ids.
     """
     batch = last_of(last_of(scan, ["path"], "seq"), ["sha"], "seq")
-    by_hash = batch.join(library.select(F.col("id").alias("hit"), "sha"), "sha", "left")
+    by_hash = kept(batch.join(library.select(F.col("id").alias("hit"), "sha"), "sha", "left"))
     live_paths = library.where("NOT is_deleted").join(by_hash.where("hit IS NOT NULL").select(F.col("hit").alias("id")), "id", "left_anti")
     by_path = by_hash.where("hit IS NULL").drop("hit").join(live_paths.groupBy("path").agg(F.min("id").alias("hit")), "path", "left")
     cols = ["hit", "sha", "path", "mtime", "folder_id"]
-    hits = by_hash.where("hit IS NOT NULL").select(cols).unionByName(by_path.where("hit IS NOT NULL").select(cols))
-    one = hits.groupBy(F.col("hit").alias("id")).agg(F.max_by(F.struct("sha", "path", "mtime", "folder_id"), F.struct("mtime", "path")).alias("n"))
+    placed = kept(by_hash.where("hit IS NOT NULL").select(cols).unionByName(by_path.select(cols)))
+    one = placed.where("hit IS NOT NULL").groupBy(F.col("hit").alias("id")).agg(F.max_by(F.struct("sha", "path", "mtime", "folder_id"), F.struct("mtime", "path")).alias("n"))
     rows = library.join(one, "id", "left")
     new = F.col("n").isNotNull()
     updated = rows.select("id", *[F.when(new, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("sha", "path", "mtime")], F.coalesce("folder_id", "n.folder_id").alias("folder_id"), (F.col("is_deleted") & ~new).alias("is_deleted"))
     base = library.agg(F.max("id")).first()[0] or 0
-    added = numbered(by_path.where("hit IS NULL").select("sha", "path", "mtime", "folder_id"), ["path", "sha"], base).withColumn("is_deleted", F.lit(False))
+    added = numbered(placed.where("hit IS NULL").select("sha", "path", "mtime", "folder_id"), ["path", "sha"], base).withColumn("is_deleted", F.lit(False))
     return updated.unionByName(added.select(updated.columns))
 
 

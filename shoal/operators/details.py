@@ -14,7 +14,7 @@ TAGGER_ORDER = {"character": 0, "copyright": 1, "meta": 2}
 
 def resolve_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Source names to ids, null for unknown ones."""
-    return rows.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))), "source", "left")
+    return rows.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source", "left")
 
 
 def view_priority(category: Column, own: Column) -> Column:
@@ -57,7 +57,7 @@ def image_details(assets: DataFrame, asset_tags: DataFrame, tags: DataFrame, vec
     found = detections.where("identity_id IS NOT NULL").groupBy("image_id").agg(F.sort_array(F.collect_set("identity_id")).alias("identities"))
     text = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("lines")).select("image_id", F.concat_ws("\n", F.col("lines.text")).alias("ocr_text"))
     out = assets.withColumnRenamed("id", "image_id")
-    for satellite in (tag_lists(asset_tags, tags, preferred, own, hidden, blacklisted), vectors, parsed, found, text):
+    for satellite in (tag_lists(asset_tags, tags, preferred, own, hidden, blacklisted), vectors, parsed.select("image_id", "artist", "pixiv_id"), found, text):
         out = out.join(satellite, "image_id", "left")
     none = F.array().cast("array<string>")
     lists = {c: F.coalesce(c, none) for c in ("tags", "blacklisted") if c in out.columns}
@@ -65,12 +65,16 @@ def image_details(assets: DataFrame, asset_tags: DataFrame, tags: DataFrame, vec
 
 
 def parsed_rows(t) -> DataFrame:
-    """Parsed metadata of the fixture: artist and id from numbered names."""
-    stem = F.regexp_extract("path", r"^.*/artist_name_(\d+)_p\d+\.png$", 1)
-    return t.assets.where("id % 10 = 0").select(F.col("id").alias("image_id"), F.lit("artist_name").alias("artist"), stem.alias("pixiv_id"))
+    """Metadata parsed from all names."""
+    from ..functions.names import parsed
 
+    rows = parsed(t.assets, "pixiv_id").withColumnRenamed("id", "image_id")
+    return rows.select("image_id", "artist", "pixiv_id", "twitter_id", "match_type", F.to_json("tags").alias("extracted_tags"), F.col("stem").alias("raw_matched"))
 
-PARSED = "SELECT id AS image_id, 'artist_name' AS artist, regexp_extract(path, '^.*/artist_name_(\\d+)_p\\d+\\.png$', 1) AS pixiv_id FROM assets WHERE id % 10 = 0"
+
+PARSED = r"""SELECT id AS image_id, CASE WHEN i = '' THEN nullif(a, '') END AS artist, coalesce(nullif(i, ''), n) AS pixiv_id, stem FROM (SELECT id, stem, regexp_extract(stem, 'illust_(\d+)', 1) AS i,
+ regexp_extract(stem, '^(?:(.+)_)?(\d{7,10})_p(\d+)(?:[\s_](.+))?$', 1) AS a, regexp_extract(stem, '^(?:(.+)_)?(\d{7,10})_p(\d+)(?:[\s_](.+))?$', 2) AS n FROM (SELECT id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem FROM assets))
+ WHERE (contains(stem, 'illust_') OR regexp_matches(stem, '_p[0-3]')) AND (i <> '' OR n <> '')"""
 PRIORITY = "CASE WHEN source_id = 0 THEN -1 WHEN category = 'character' THEN 1 WHEN category = 'copyright' THEN 2 WHEN category = 'meta' THEN 3 ELSE 4 END"
 
 
@@ -99,13 +103,9 @@ def _all(t, rows: DataFrame, **options) -> DataFrame:
     return image_details(rows, t.asset_tags, t.tags, vectors(t), parsed_rows(t), t.detections, t.text_lines, **options)
 
 
-@query("image_details", details_sql("id % 3 = 0"), "assets asset_tags tags detections text_lines")
-def _image_details(t):
-    return _flat(_all(t, t.assets.where("NOT is_deleted AND id % 3 = 0")))
-
-
+@query("image_details", details_sql("true"), "assets asset_tags tags detections text_lines")
 @query("image_details_all", details_sql("true"), "assets asset_tags tags detections text_lines")
-def _image_details_all(t):
+def _image_details(t):
     return _flat(_all(t, t.assets.where("NOT is_deleted")))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..sources.views import query
 
+#: Endings of videos, and the class scores of an asset.
 VIDEO = (".mp4", ".webm")
+SCORES = ("safe_score", "hentai_score", "porn_score", "sexy_score", "drawing_score")
 PARSED_FIELDS = ("artist", "pixiv_id", "twitter_id", "match_type", "extracted_tags", "raw_matched")
 
 
@@ -78,8 +80,10 @@ def with_tags(asset_tags: DataFrame, tags: DataFrame, names: list[str], source_i
     return held.groupBy("image_id").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(wanted)).select("image_id")
 
 
-def unclassified(assets: DataFrame, scores: tuple[str, ...] = ("safe_score", "explicit_score")) -> DataFrame:
-    """Live assets that lack a class score, with the path to decode."""
+def unclassified(assets: DataFrame, scores: tuple[str, ...] = SCORES, folder_id: int | None = None) -> DataFrame:
+    """Live assets that lack a class score, with the path to decode; of one folder those that lack the first score."""
+    if folder_id is not None:
+        assets, scores = assets.where(F.col("folder_id") == folder_id), scores[:1]
     lacking = reduce(or_, (F.col(c).isNull() for c in scores))
     frame = F.col("frame_path") if "frame_path" in assets.columns else F.lit(None).cast("string")
     return live(assets).where(lacking).select("id", F.coalesce(frame, "path").alias("decode_path"))
@@ -96,7 +100,7 @@ def needs_metadata(assets: DataFrame, animations: DataFrame, videos: DataFrame)
 
 def reconcile_missing(assets: DataFrame, listing: DataFrame) -> DataFrame:
     """``(id, is_missing)`` of live assets whose flag differs from what the file listing says."""
-    found = listing.select("path", F.lit(True).alias("found"))
+    found = listing.select("path").distinct().withColumn("found", F.lit(True))
     rows = assets.where(~F.col("is_deleted")).join(found, "path", "left")
     now = F.col("found").isNull()
     return rows.where(now != F.col("is_missing")).select("id", now.alias("is_missing"))
@@ -148,13 +152,14 @@ def _tags_all(t):
 
 @query("images_by_identity", "SELECT identity_id, count(*) AS n, min(image_id) AS first_image, max(image_id) AS last_image FROM (SELECT DISTINCT identity_id, image_id FROM detections WHERE identity_id IS NOT NULL) GROUP BY 1", "detections")
 def _images_by_identity(t):
-    ids = t.detections.where("identity_id IS NOT NULL").groupBy("identity_id").agg(F.sort_array(F.collect_set("image_id")).alias("images"))
-    return ids.select("identity_id", F.size("images").cast("long").alias("n"), F.element_at("images", 1).alias("first_image"), F.element_at("images", -1).alias("last_image"))
+    held = t.detections.where("identity_id IS NOT NULL").groupBy("identity_id")
+    return held.agg(F.countDistinct("image_id").alias("n"), F.min("image_id").alias("first_image"), F.max("image_id").alias("last_image"))
 
 
-@query("unclassified", "SELECT id, path AS decode_path FROM assets WHERE NOT is_deleted AND NOT is_missing AND (safe_score IS NULL OR explicit_score IS NULL)", "assets")
+@query("unclassified", "SELECT id, path AS decode_path FROM assets WHERE NOT is_deleted AND NOT is_missing AND (safe_score IS NULL OR explicit_score IS NULL OR id % 23 = 0 OR id % 29 = 0 OR id % 31 = 0)", "assets")
 def _unclassified(t):
-    return unclassified(t.assets)
+    lacks = lambda k: F.when(F.col("id") % k != 0, 0.5)
+    return unclassified(t.assets.withColumns({"hentai_score": F.col("explicit_score"), "porn_score": lacks(23), "sexy_score": lacks(29), "drawing_score": lacks(31)}))
 
 
 @query("needs_metadata", """
@@ -165,10 +170,9 @@ def _needs_metadata(t):
     return needs_metadata(a, t.assets.where("id % 3 = 0").select(F.col("id").alias("image_id")), t.assets.where("id % 2 = 0").select(F.col("id").alias("image_id")))
 
 
-@query("reconcile_missing", "SELECT id, (id % 19 = 0) AS is_missing FROM assets WHERE NOT is_deleted AND (id % 19 = 0) <> is_missing AND path IN (SELECT path FROM assets GROUP BY path HAVING count(*) = 1)", "assets")
+@query("reconcile_missing", "WITH f AS (SELECT DISTINCT path FROM assets WHERE id % 19 <> 0) SELECT id, path NOT IN (SELECT path FROM f) AS is_missing FROM assets WHERE NOT is_deleted AND (path NOT IN (SELECT path FROM f)) <> is_missing", "assets")
 def _reconcile_missing(t):
-    own = t.assets.join(t.assets.groupBy("path").count().where("count = 1").select("path"), "path", "left_semi")
-    return reconcile_missing(own, t.assets.where("id % 19 <> 0").select("path").distinct())
+    return reconcile_missing(t.assets, t.assets.where("id % 19 <> 0").select("path").distinct())
 
 
 @query("nsfw_flag", "SELECT id FROM assets WHERE safe_score IS NOT NULL AND explicit_score IS NOT NULL AND explicit_score >= 0.91", "assets")

@@ -84,25 +84,20 @@ def _suggest_tags(t):
     return suggest_tags(t.tags, "re").select("id", "name")
 
 
-def _merged(t, asset_tags: DataFrame) -> DataFrame:
+SUGGESTIONS = f"WITH i AS ({NAMED}), g AS (SELECT CASE WHEN tag_id % 90 < 10 THEN 'Name' || (100 - tag_id % 90) ELSE 'tag' || tag_id END AS name, count(*) AS n FROM asset_tags GROUP BY 1), u AS (SELECT name, n, 0 AS kind FROM g UNION ALL SELECT name, n, 1 FROM i) SELECT name, n, kind, CAST(row_number() OVER (ORDER BY regexp_full_match(name, 'Character \\d+'), n DESC, name) AS INT) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY kind, n DESC) = 1)"
+
+
+@query("suggest_merged", SUGGESTIONS, "detections asset_tags")
+@query("suggest_merged_all", SUGGESTIONS, "detections asset_tags")
+def _suggest_merged(t):
     from .changes import numbered
 
     name = F.when(F.col("tag_id") % 90 < 10, F.concat(F.lit("Name"), (F.lit(100) - F.col("tag_id") % 90).cast("string"))).otherwise(F.concat(F.lit("tag"), F.col("tag_id").cast("string")))
-    tags = asset_tags.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+    tags = t.asset_tags.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
     rows = merged_suggestions(tags, named_identities(t)).withColumns({"waits": F.col("name").rlike(PLACEHOLDER), "less": -F.col("n")})
     return numbered(rows, ["waits", "less", "name"], name="place").select("name", "n", "kind", F.col("place").cast("int").alias("place"))
 
 
-@query("suggest_merged", f"WITH i AS ({NAMED}), g AS (SELECT CASE WHEN tag_id % 90 < 10 THEN 'Name' || (100 - tag_id % 90) ELSE 'tag' || tag_id END AS name, count(*) AS n FROM asset_tags WHERE tag_id < 100 GROUP BY 1), u AS (SELECT name, n, 0 AS kind FROM g UNION ALL SELECT name, n, 1 FROM i) SELECT name, n, kind, CAST(row_number() OVER (ORDER BY regexp_full_match(name, 'Character \\d+'), n DESC, name) AS INT) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY kind, n DESC) = 1)", "detections asset_tags")
-def _suggest_merged(t):
-    return _merged(t, t.asset_tags.where("tag_id < 100"))
-
-
-@query("suggest_merged_all", f"WITH i AS ({NAMED}), g AS (SELECT CASE WHEN tag_id % 90 < 10 THEN 'Name' || (100 - tag_id % 90) ELSE 'tag' || tag_id END AS name, count(*) AS n FROM asset_tags GROUP BY 1), u AS (SELECT name, n, 0 AS kind FROM g UNION ALL SELECT name, n, 1 FROM i) SELECT name, n, kind, CAST(row_number() OVER (ORDER BY regexp_full_match(name, 'Character \\d+'), n DESC, name) AS INT) AS place FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY kind, n DESC) = 1)", "detections asset_tags")
-def _suggest_merged_all(t):
-    return _merged(t, t.asset_tags)
-
-
 @query("identity_order", f"WITH i AS ({NAMED}) SELECT identity_id, name, n FROM i", "detections")
 def _identity_order(t):
     return identity_order(named_identities(t)).select("identity_id", "name", "n")

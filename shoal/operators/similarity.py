@@ -85,40 +85,50 @@ def knn_exact(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     return _ranked(in_blocks(queries, rows, lambda q, r: _best(q, r, k), "query_id long, id long, score double"), k)
 
 
-def _centroids(rows: DataFrame, lists: int, sample: int, seed: int = 0) -> np.ndarray:
-    """K-means of up to about ``sample`` rows, on the driver."""
-    n = rows.count()
+def _centroids(rows: DataFrame, n: int, k: int, lists: int | None, recall: float, sample: int, seed: int = 0) -> tuple[np.ndarray, int]:
+    """K-means of up to about ``sample`` rows, on the driver, and how many lists hold enough of the sample's true neighbours."""
     some = rows if n <= sample else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * sample / n))
     x = np.stack([r.v for r in some.select("id", "v").orderBy("id").collect()])
-    c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
+    rng = np.random.default_rng(seed)
+    lists = lists or max(1, min(int(n**0.5), sample // 40))
+    c = x[rng.permutation(len(x))[:lists]]
     for _ in range(10):
         own = np.argmax(x @ c.T, axis=1)
-        for k in range(len(c)):
-            if (own == k).any():
-                c[k] = x[own == k].mean(axis=0)
+        for j in range(len(c)):
+            if (own == j).any():
+                c[j] = x[own == j].mean(axis=0)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    own = np.argmax(x @ c.T, axis=1)
+    asked = rng.permutation(len(x))[:200]
+    near = np.argsort(-(x[asked] @ x.T), axis=1, kind="stable")[:, : k + 1]
+    place = np.argsort(np.argsort(-(x[asked] @ c.T), axis=1, kind="stable"), axis=1)  # of each list in a query's order
+    at = np.take_along_axis(place, own[near], axis=1)[near != asked[:, None]]
+    return c, int(np.quantile(at, recall, method="higher")) + 1 if len(at) else len(c)
 
 
-def knn_lists(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int = 16, probes: int = 12, sample: int = 20_000) -> DataFrame:
-    """As ``knn_exact``, by lists: centroids of a bounded sample, every row in its nearest list, queries in their ``probes`` nearest ones.
+def knn_lists(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int | None = None, recall: float = 0.95, sample: int = 20_000) -> DataFrame:
+    """As ``knn_exact``, by lists: centroids of a bounded sample, every row in its nearest list, queries in their nearest ones.
 
-    A list is cut into parts of at most about ``ROWS`` rows, so a list that holds most of the rows is no
-    larger task. With the defaults at least nine of ten true neighbours are found (tests).
+    There are about sqrt(rows) lists (at most sample / 40). How many of them a query visits is the number that
+    holds ``recall`` of the true neighbours of 200 sampled rows among the sample; at least nine of ten
+    are then found over all rows (tests). A list is cut into parts of at most about ``ROWS`` rows, so a
+    list that holds most of the rows is no larger task.
     """
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return knn_exact(queries, rows, k)
-    sent = rows.sparkSession.sparkContext.broadcast(_centroids(rows, lists, sample))
+    found_lists, probes = _centroids(rows, n, k, lists, recall, sample)
+    sent = rows.sparkSession.sparkContext.broadcast(found_lists)  # at most sample / 40 vectors
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
         scores = np.stack(v.to_numpy()) @ sent.value.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable").astype(np.int32)))
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable").astype(np.int32)[:, :probes]))
 
     held = rows.withColumn("list", F.element_at(nearest("v"), 1))
     parts = held.groupBy("list").agg(F.ceil(F.count("*") / ROWS).alias("parts"))  # a row a list
     held = held.join(F.broadcast(parts), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    asked = queries.withColumn("list", F.explode(F.slice(nearest("v"), 1, probes))).join(F.broadcast(parts), "list")
+    asked = queries.withColumn("list", F.explode(nearest("v"))).join(F.broadcast(parts), "list")
     asked = asked.select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERIES)))).alias("qb"))
     blocks = asked.select(F.col("list").alias("l"), F.col("part").alias("p"), F.col("qb").alias("b")).distinct()
     held = held.join(blocks, (F.col("list") == F.col("l")) & (F.col("part") == F.col("p")))
@@ -209,13 +219,12 @@ def _phash_neighbors(t):
     return hash_neighbours(h, first.hash if first else 0)
 
 
-@query("phash_pairs", f"WITH h AS (SELECT DISTINCT hash FROM ({PHASH}) WHERE id % 2 = 0) SELECT x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM h x JOIN h y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 10")
-def _phash_pairs(t):
-    return hash_pairs(perceptual(t).where("id % 2 = 0"))
+PAIRS = f"WITH h AS (SELECT DISTINCT hash FROM ({PHASH})) SELECT x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM h x JOIN h y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 10"
 
 
-@query("phash_pairs_all")
-def _phash_pairs_all(t):
+@query("phash_pairs", PAIRS)
+@query("phash_pairs_all", PAIRS)
+def _phash_pairs(t):
     return hash_pairs(perceptual(t))
 
 

@@ -7,20 +7,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.views import query
+from .changes import numbered
 from .filters import live
 
 
 def gallery_position(assets: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(id, position)``: how many live assets come before each wanted one, newest first.
 
-    Rows are counted by day, days are summed up over the few days there are, and only a day's own rows are
-    ranked together, so no task sees all assets.
+    Places come from sorted parts and their sizes, so no task sees all assets, nor all of one moment.
     """
-    rows = live(assets).select("id", "created_at")
-    days = rows.groupBy("created_at").agg(F.count("*").alias("n"))
-    before = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("created_at").orderBy(F.desc("id"))) - 1)
-    return ranked.join(wanted.select("id"), "id", "left_semi").join(before, "created_at").select("id", (F.col("before") + F.col("r")).alias("position"))
+    rows = numbered(live(assets).select("id", "created_at"), [F.desc("created_at"), F.desc("id")], -1, "position")
+    return rows.select("id", "position").join(wanted.select("id"), "id", "left_semi")
 
 
 def top_tags(counts: DataFrame, k: int = 300) -> DataFrame:
@@ -64,7 +61,11 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 
 def merge_boxes(boxes: list[tuple[float, float, float, float]], gap: float = 10) -> list[tuple[float, float, float, float]]:
-    """Boxes by (y, x), same-line neighbours by x; fragments on one line within ``gap`` become one, until none do."""
+    """Boxes by (y, x), same-line neighbours by x; fragments on one line within ``gap`` become one, until none do.
+
+    Of the pairs that can be joined the first in order always is. Only the box that has grown can open new
+    pairs, so after a join it alone is held against those before it and then against those behind.
+    """
     rows = sorted(boxes, key=lambda b: (b[1], b[0]))
     for k in range(len(rows) - 1):
         for j in range(k, -1, -1):
@@ -72,20 +73,24 @@ def merge_boxes(boxes: list[tuple[float, float, float, float]], gap: float = 10)
                 rows[j], rows[j + 1] = rows[j + 1], rows[j]
             else:
                 break
-    merged = True
-    while merged:
-        merged = False
-        for a in range(len(rows)):
-            for b in range(a + 1, len(rows)):
-                p, q = rows[a], rows[b]
-                apart = max(p[0], q[0]) - min(p[2], q[2])
-                if abs(p[1] - q[1]) <= gap and abs(p[3] - q[3]) <= gap and apart <= gap:
-                    rows[a] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
-                    del rows[b]
-                    merged = True
-                    break
-            if merged:
-                break
+
+    def one_line(p, q) -> bool:
+        return abs(p[1] - q[1]) <= gap and abs(p[3] - q[3]) <= gap and max(p[0], q[0]) - min(p[2], q[2]) <= gap
+
+    def join(a: int, b: int) -> None:
+        p, q = rows[a], rows.pop(b)
+        rows[a] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
+
+    a = 0
+    while a < len(rows):
+        b = next((b for b in range(a + 1, len(rows)) if one_line(rows[a], rows[b])), None)
+        if b is None:
+            a += 1
+            continue
+        join(a, b)
+        while (before := next((k for k in range(a) if one_line(rows[k], rows[a])), None)) is not None:
+            join(before, a)
+            a = before
     return rows
 
 
@@ -104,27 +109,26 @@ def merged_fragments(boxes: DataFrame, gap: float = 10) -> DataFrame:
 def evicted(cache: DataFrame, most: int) -> DataFrame:
     """Rows that stay when a cache holds more than ``most``: the excess and a tenth go, oldest first, with all rows of their ids.
 
-    Days are counted first; only the day on the border is ranked, so the oldest rows are never gathered.
+    Days are counted first, so that only rows up to the day on the border are sorted.
     """
     n = cache.count()
     if n <= most:
         return cache
     goal = n - most + most // 10
-    days = cache.groupBy("created_at").agg(F.count("*").alias("n"))
-    sums = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
-    rows = cache.join(sums.select("created_at", "before").where(F.col("before") < goal), "created_at")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("created_at").orderBy("id", "kind"))
-    gone = rows.withColumn("place", place).where(F.col("place") <= goal).select("id").distinct()
+    dated = cache.withColumn("_day", F.to_date("created_at"))
+    days = dated.groupBy("_day").agg(F.count("*").alias("n"))
+    sums = days.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
+    old = dated.join(sums.where(F.col("before") < goal).select("_day"), "_day", "left_semi").select("id", "kind", "created_at")
+    gone = numbered(old, ["created_at", "id", "kind"], 0, "place").where(F.col("place") <= goal).select("id").distinct()
     return cache.join(gone, "id", "left_anti")
 
 
-@query("gallery_position", "WITH p AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS position FROM assets WHERE NOT is_deleted AND NOT is_missing) SELECT * FROM p WHERE id % 7 = 0", "assets")
-def _gallery_position(t):
-    return gallery_position(t.assets, t.assets.where("id % 7 = 0"))
+POSITIONS = "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS position FROM assets WHERE NOT is_deleted AND NOT is_missing"
 
 
-@query("gallery_position_all", "SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS position FROM assets WHERE NOT is_deleted AND NOT is_missing", "assets")
-def _gallery_position_all(t):
+@query("gallery_position", POSITIONS, "assets")
+@query("gallery_position_all", POSITIONS, "assets")
+def _gallery_position(t):
     return gallery_position(t.assets, t.assets)
 
 

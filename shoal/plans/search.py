@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
+from ..operators.details import PARSED, parsed_rows
 from ..operators.filters import filename_contains, live, media_kind, parsed_terms, with_tags
-from ..operators.similarity import PHASH, hash_neighbours, knn_exact, perceptual, unit
+from ..operators.similarity import PHASH, hash_neighbours, perceptual, unit
 from ..sources.views import query
 
 #: Rank of the kinds of evidence.
@@ -50,33 +53,19 @@ class Search:
     limit: int = 100
 
 
-def words(lines: DataFrame) -> DataFrame:
-    """``(image_id, line_id, pos, word)`` of each line's words: the postings of full-text search."""
-    parts = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return lines.select("image_id", F.col("id").alias("line_id"), F.posexplode(parts).alias("pos", "word"))
-
-
-def _phrase(postings: DataFrame, phrase: list[str]) -> DataFrame:
-    """Lines that hold the words one after another."""
-    last = postings.where(F.col("word") == phrase[0]).select("image_id", "line_id", "pos")
-    for k, w in enumerate(phrase[1:], 1):
-        nxt = postings.where(F.col("word") == w).select("line_id", (F.col("pos") - k).alias("pos"))
-        last = last.join(nxt, ["line_id", "pos"], "left_semi")
-    return last.select("image_id", "line_id").distinct()
+def _has(line: Column, term: str) -> Column:
+    """Of a line ``" word word "``: it holds a word, ``"a phrase"`` or ``prefix*``."""
+    own = term.strip('"').lower().split()
+    if term.startswith('"'):
+        return line.contains(f" {' '.join(own)} ") if own else F.lit(True)
+    return line.contains(f" {term[:-1].lower()}") if term.endswith("*") else line.contains(f" {term.lower()} ")
 
 
 def text_matches(lines: DataFrame, text: str) -> DataFrame:
-    """``image_id`` of images with a line that matches: words all, ``OR`` between alternatives, ``NOT word``, ``"a phrase"``, ``prefix*``."""
-    postings = words(lines)
-
-    def one(term: str) -> DataFrame:
-        own = [w for w in term.strip('"').lower().split() if w]
-        if term.startswith('"'):
-            return _phrase(postings, own)
-        if term.endswith("*"):
-            return postings.where(F.col("word").startswith(term[:-1].lower())).select("image_id", "line_id").distinct()
-        return postings.where(F.col("word") == term.lower()).select("image_id", "line_id").distinct()
+    """``image_id`` of images with a line that matches: words all, ``OR`` between alternatives, ``NOT word``, ``"a phrase"``, ``prefix*``.
 
+    A line is one row, so a search is one predicate on it: one scan, and no shuffle but for distinct images.
+    """
     terms, word, quoted = [], "", False
     for c in text + " ":
         if c == '"':
@@ -96,13 +85,20 @@ def text_matches(lines: DataFrame, text: str) -> DataFrame:
         else:
             groups[-1][negative].append(term)
             negative = False
-    out = []
-    for wanted, unwanted in groups:
-        if wanted:
-            hit = reduce(lambda a, b: a.join(b.select("line_id"), "line_id", "left_semi"), map(one, wanted))
-            out.append(reduce(lambda a, b: a.join(b.select("line_id"), "line_id", "left_anti"), map(one, unwanted), hit).select("image_id"))
-    none = lines.select("image_id").limit(0)
-    return reduce(DataFrame.union, out, none).distinct()
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+    def holds(line: Column) -> Column:
+        alternatives = [reduce(and_, [_has(line, w) for w in wanted] + [~_has(line, w) for w in unwanted]) for wanted, unwanted in groups if wanted]
+        return reduce(or_, alternatives, F.lit(False))
+
+    return lines.where(F.exists(F.array(plain), holds)).select("image_id").distinct()
+
+
+def nearest(query: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``(id, score)``: the k rows nearest to one ``query(id, v)`` by cosine, its own row left out; the query's single row is sent to all tasks."""
+    one = F.broadcast(query.limit(1).select(F.col("id").alias("_own"), F.col("v").alias("_q")))
+    rows = vectors.join(one, F.col("id") != F.col("_own"))
+    return rows.select("id", dot(F.col("v"), F.col("_q")).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def _leg(df: DataFrame, tier: int, score=None) -> DataFrame:
@@ -125,7 +121,7 @@ def search(lib: Library, ask: Search) -> DataFrame:
         held = lib.lines.select("image_id").distinct()
         base = held if base is None else base.join(held, "image_id", "left_semi")
     base = None if base is None else _leg(base, SEMANTIC)
-    near = lambda q: _leg(knn_exact(q, lib.vectors, max(ask.limit, 100)).select("id", "score"), SEMANTIC)
+    near = lambda q: _leg(nearest(q, lib.vectors, max(ask.limit, 100)), SEMANTIC)
     if ask.image_vector is not None:
         base = near(ask.image_vector)
     if ask.text_vector is not None:
@@ -138,12 +134,16 @@ def search(lib: Library, ask: Search) -> DataFrame:
     named = None if not ask.filename else _leg(filename_contains(lib.assets, ask.filename).select("id"), SEMANTIC)
     legs = [x for x in (base, exact, alike, parsed, named) if x is not None]
     if ask.tags:
-        only_tags = ask.text_vector is None and all(x is None or x.isEmpty() for x in (exact, alike, parsed))
-
         tagged = with_tags(lib.asset_tags, lib.tags, ask.tags, ask.source_id).select(F.col("image_id").alias("id"))
-        legs = [_leg(tagged, SEMANTIC)] if only_tags or not legs else [x.join(tagged, "id", "left_semi") for x in legs]
-        if only_tags and base is not None:
-            legs.append(base.join(tagged, "id", "left_semi"))
+        hits = [x for x in (exact, alike, parsed) if x is not None]
+        legs = [x.join(tagged, "id", "left_semi") for x in (base, *hits) if x is not None]
+        if ask.text_vector is None:
+            # tags alone count, and the file name doesn't, where none of the other kinds has a hit: one row says whether
+            some = F.broadcast(reduce(DataFrame.unionByName, hits, _leg(tagged.limit(0), SEMANTIC)).limit(1).agg((F.count("*") > 0).alias("some")))
+            legs.append(_leg(tagged, SEMANTIC).join(some, ~F.col("some")).drop("some"))
+            named = None if named is None else named.join(some, F.col("some")).drop("some")
+        if named is not None:
+            legs.append(named.join(tagged, "id", "left_semi"))
     if not legs:
         return latest(lib.assets, ask.limit)
     best = reduce(DataFrame.unionByName, legs).groupBy("id").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("b")).select("id", "b.tier", (-F.col("b.s")).alias("score"))
@@ -158,10 +158,7 @@ def latest(assets: DataFrame, limit: int) -> DataFrame:
 
 
 def library(t) -> Library:
-    from ..operators.details import parsed_rows
-
-    parsed = parsed_rows(t).withColumns({"twitter_id": F.lit(None).cast("string"), "match_type": F.lit("pixiv_id"), "extracted_tags": F.concat(F.lit('["pixiv:'), "pixiv_id", F.lit('","artist:artist_name"]')), "raw_matched": F.concat(F.lit("artist_name_"), "pixiv_id")})
-    return Library(t.assets, t.asset_tags, t.tags, perceptual(t), unit(t.embeddings), parsed, t.detections, t.text_lines)
+    return Library(t.assets, t.asset_tags, t.tags, perceptual(t), unit(t.embeddings), parsed_rows(t), t.detections, t.text_lines)
 
 
 @query("search", f"""
@@ -187,7 +184,7 @@ def _search_latest(t):
     return search(library(t), Search(limit=500))
 
 
-@query("parsed_terms", f"SELECT id AS image_id FROM assets WHERE id % 10 = 0 AND CAST(10000000 + id AS VARCHAR) LIKE '%123%'", "assets")
+@query("parsed_terms", f"SELECT image_id FROM ({PARSED}) WHERE pixiv_id LIKE '1%' AND (artist = 'artist_name' OR contains(stem, 'artist_name')) AND (pixiv_id LIKE '%123%' OR stem LIKE '%123%')", "assets")
 def _parsed_terms(t):
     return parsed_terms(library(t).parsed, 'pixiv:1 artist: "artist_name" 123', "pixiv_id").select("image_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,27 @@ from .views import query
 MEDIA = ("png", "jpg", "jpeg", "webp", "bmp", "gif", "tiff", "mp4", "webm")
 
 
-def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = MEDIA) -> DataFrame:
-    """``(path, size_bytes, mtime)`` of files with one of the extensions below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(folder)
-    ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
-    return files.where(ext.isin(*extensions)).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+def scan(spark: SparkSession, paths: str | Sequence[str], extensions: tuple[str, ...] = MEDIA) -> DataFrame:
+    """``(path, size_bytes, mtime)`` of the files at or below some paths; contents are not read.
+
+    Below a folder only files with one of the extensions count; a path that is a file counts whatever its
+    name, and one that isn't there counts for nothing. A file that several paths reach is one row.
+    """
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    folders, files = [], []
+    for path in [paths] if isinstance(paths, str) else paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            (folders if fs.getFileStatus(p).isDirectory() else files).append(path)
+    read = lambda own: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(own)
+    found = [read(folders).where(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(*extensions))] if folders else []
+    found += [read(files)] if files else []
+    cols = ["path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")]
+    rows = [x.select(*cols) for x in found]
+    if not rows:
+        return spark.createDataFrame([], "path string, size_bytes long, mtime timestamp")
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1]).dropDuplicates(["path"])
 
 
 def content_hash(content: Column, readable: Column | None = None, head: int = 65536) -> Column:
@@ -30,13 +48,7 @@ def _media_scan(t):
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size_bytes")
 
 
-@query("content_hash", "SELECT doc_id, sha256(CASE WHEN doc_id % 3 > 0 THEN text ELSE text[1:1000] END) AS sha FROM documents WHERE doc_id % 3 > 0 OR strlen(text[1:1000]) = length(text[1:1000])")
-def _content_hash(t):
-    ascii_head = F.octet_length(F.substring("text", 1, 1000)) == F.length(F.substring("text", 1, 1000))
-    docs = t.documents.where((F.col("doc_id") % 3 > 0) | ascii_head)
-    return docs.select("doc_id", content_hash(F.col("text").cast("binary"), F.col("doc_id") % 3 > 0, 1000).alias("sha"))
-
-
+@query("content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents")
 @query("content_hash_all", "SELECT doc_id, sha256(text) AS sha FROM documents")
-def _content_hash_all(t):
+def _content_hash(t):
     return t.documents.select("doc_id", content_hash(F.col("text").cast("binary")).alias("sha"))

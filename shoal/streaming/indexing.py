@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import vector_checksum
-from ..operators.changes import keyed_upsert
+from ..functions.vectors import softmax, vector_checksum
 from ..operators.filters import reconcile_missing
 from ..shared import fresh_path, kept
 from ..sources.views import query
 
-STATE = "image_id long, state string, checksum string"
+STATE = "image_id long, state string, checksum string, label int, score double"
+#: Versions after which the changes are written together again.
+WHOLE = 10
 
 
 def incoming(spark: SparkSession, folder: str, schema, name: str | None = None, files: int = 1) -> DataFrame:
@@ -25,31 +26,63 @@ def incoming(spark: SparkSession, folder: str, schema, name: str | None = None,
 
 
 def indexed(rows: DataFrame) -> DataFrame:
-    """``STATE`` rows of a batch ``(image_id, vector)``: ready with the vector's checksum, or failed without one."""
-    ok = F.col("vector").isNotNull() & (F.size("vector") > 0)
-    one = rows.groupBy("image_id").agg(F.max("vector").alias("vector"))
-    return one.select("image_id", F.when(ok, "ready").otherwise("failed").alias("state"), F.when(ok, vector_checksum(F.col("vector"))).alias("checksum"))
-
-
-def run_index(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame] = indexed) -> DataFrame:
-    """Run the stream over what is there and return the last state.
+    """``STATE`` rows of a batch ``(image_id, vector[, logits])``: ready with the vector's checksum and best class, or failed without a vector.
 
-    Version ``n`` of the state is written from version ``n - 1`` and micro-batch ``n``, so a batch that is
-    run again after a failure overwrites its own version alone; the checkpoint restarts after the last one.
+    A row without logits has no class. Of several rows of an image the one with the largest vector counts.
+    """
+    ok = F.col("vector").isNotNull() & (F.size("vector") > 0)
+    if "logits" not in rows.columns:
+        rows = rows.withColumn("logits", F.lit(None).cast("array<double>"))
+    one = rows.groupBy("image_id").agg(F.max(F.struct("vector", "logits")).alias("r")).select("image_id", "r.*")
+    classes = softmax(F.col("logits"))
+    best = F.when(ok, F.array_max(classes))
+    return one.select(
+        "image_id", F.when(ok, "ready").otherwise("failed").alias("state"), F.when(ok, vector_checksum(F.col("vector"))).alias("checksum"),
+        F.when(best.isNotNull(), F.array_position(classes, best) - 1).cast("int").alias("label"), best.alias("score"),
+    )
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and folders of the versions that were written to their end, in order: ``-whole`` ones, ``-part`` ones with a batch's changes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state/*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    folders = [x.getPath().getParent().toString() for x in found or ()]
+    return sorted((int(f.rsplit("/", 1)[1].split("-")[0]), f) for f in folders)
+
+
+def state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The state after all versions (or those before a number): the last row of each image, with its last known checksum and class."""
+    held = [v for v in versions(spark, path) if before is None or v[0] < before]
+    start = max((k for k, (_, f) in enumerate(held) if f.endswith("-whole")), default=0)
+    rows = spark.createDataFrame([], STATE).withColumn("n", F.lit(0))
+    for n, folder in held[start:]:  # at most WHOLE
+        rows = rows.unionByName(spark.read.schema(STATE).parquet(folder).withColumn("n", F.lit(n)))
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
+    return rows.groupBy("image_id").agg(F.max_by("state", "n").alias("state"), known("checksum"), known("label"), known("score"))
+
+
+def run_index(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame] = indexed, deleted: DataFrame | None = None) -> DataFrame:
+    """Run the stream over what is there and return the state, also where nothing new has come.
+
+    A micro-batch's rows first become ``preprocessing``, in a version of their own, and then what ``step``
+    makes of them; rows of ``deleted(image_id)`` stay out. A version holds a batch's changes alone, so its cost
+    is the batch's; every tenth is whole. A batch that is run again after a failure overwrites its own
+    versions, and images that a failed run left in ``preprocessing`` wait again (``repair_states``).
     """
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
-        old = spark.read.schema(STATE).parquet(f"{path}/state/{n - 1}") if n else spark.createDataFrame([], STATE)
-        keyed_upsert(old, step(batch), ["image_id"], ["checksum"]).write.mode("overwrite").parquet(f"{path}/state/{n}")
+        rows = batch if deleted is None else batch.join(deleted.select("image_id"), "image_id", "left_anti")
+        none = {c: F.lit(None).cast(k) for c, k in (("checksum", "string"), ("label", "int"), ("score", "double"))}
+        taken = rows.select("image_id").distinct().withColumns({"state": F.lit("preprocessing"), **none})
+        taken.write.mode("overwrite").parquet(f"{path}/state/{2 * n}-part")
+        step(rows).write.mode("overwrite").parquet(f"{path}/state/{2 * n + 1}-part")
+        if n % WHOLE == WHOLE - 1:
+            state(spark, path, 2 * n + 2).write.mode("overwrite").parquet(f"{path}/state/{2 * n + 1}-whole")
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = q.lastProgress
-    if done is None:
-        return spark.createDataFrame([], STATE)
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"]) if any(p["numInputRows"] for p in q.recentProgress) else None
-    return spark.createDataFrame([], STATE) if last is None else spark.read.schema(STATE).parquet(f"{path}/state/{last}")
+    return state(spark, path)
 
 
 def _arrivals(t, rows: DataFrame, parts: int) -> tuple[DataFrame, str]:
@@ -61,9 +94,10 @@ def _arrivals(t, rows: DataFrame, parts: int) -> tuple[DataFrame, str]:
 
 @query("stream_index")
 def _stream_index(t):
-    rows = t.embeddings.select(F.col("vec_id").alias("image_id"), F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).alias("vector"))
+    """All vectors arrive in four files; each tenth has none, deleted assets stay out, the first five components stand for class scores."""
+    rows = t.embeddings.select(F.col("vec_id").alias("image_id"), F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).alias("vector"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("logits"))
     stream, path = _arrivals(t, rows, 4)
-    return run_index(stream, path + "-run")
+    return run_index(stream, path + "-run", deleted=t.assets.where("is_deleted").select(F.col("id").alias("image_id")))
 
 
 @query("stream_reconcile", "WITH f AS (SELECT DISTINCT path FROM assets WHERE id % 19 <> 0) SELECT id, path NOT IN (SELECT path FROM f) AS is_missing FROM assets WHERE NOT is_deleted AND (path NOT IN (SELECT path FROM f)) <> is_missing", "assets")

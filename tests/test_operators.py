@@ -139,6 +139,65 @@ def test_merged_fragments(spark):
     assert [tuple(r)[2:] for r in got] == [(0, 0, 30, 11), (100, 0, 120, 10), (0, 50, 10, 60), (5, 5, 6, 6)]
 
 
+def test_merging_against_the_plain_rule():
+    """The first pair that can be joined is, from the start each time."""
+    def plain(rows, gap=10):
+        rows = sorted(rows, key=lambda b: (b[1], b[0]))
+        for k in range(len(rows) - 1):
+            for j in range(k, -1, -1):
+                if abs(rows[j + 1][1] - rows[j][1]) < gap and rows[j + 1][0] < rows[j][0]:
+                    rows[j], rows[j + 1] = rows[j + 1], rows[j]
+                else:
+                    break
+        while True:
+            pair = next(((p, q) for p, q in itertools.combinations(range(len(rows)), 2) if abs(rows[p][1] - rows[q][1]) <= gap and abs(rows[p][3] - rows[q][3]) <= gap and max(rows[p][0], rows[q][0]) - min(rows[p][2], rows[q][2]) <= gap), None)
+            if pair is None:
+                return rows
+            p, q = rows[pair[0]], rows.pop(pair[1])
+            rows[pair[0]] = (min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3]))
+
+    rng = random.Random(6)
+    for _ in range(400):
+        boxes = [(x, y, x + rng.randint(1, 40), y + rng.randint(5, 20)) for x, y in ((rng.randint(0, 200), rng.randint(0, 40)) for _ in range(rng.randint(0, 14)))]
+        assert windows.merge_boxes(boxes) == plain(boxes)
+
+
+def test_positions_of_one_moment(spark):
+    """All assets of one time: places come from sorted parts, not from one task."""
+    rows = spark.range(1, 500).select("id", F.lit("2020-01-01 10:00:00").cast("timestamp").alias("created_at"), F.lit(False).alias("is_deleted"), F.lit(False).alias("is_missing"))
+    assert {r.id: r.position for r in windows.gallery_position(rows, rows.where("id < 5")).collect()} == {k: 499 - k for k in range(1, 5)}
+
+
+def test_blocks_merge(spark, monkeypatch):
+    """Several blocks on either side give what one block gives."""
+    v = similarity.unit(Tables(spark, SF).embeddings)
+    asked = v.where("id % 7 = 0")
+    found = Tables(spark, SF).detections
+    run = lambda: (sorted(map(tuple, similarity.knn_exact(asked, v, 5).select("query_id", "rank", "id").collect())), sorted(map(tuple, similarity.identity_match(found, found, 0.96).select("detection_id", "identity_id").collect())))
+    one = run()
+    monkeypatch.setattr(similarity, "ROWS", 16)
+    monkeypatch.setattr(similarity, "QUERIES", 5)
+    assert run() == one and len(one[0]) == 5 * asked.count()
+
+
+def test_search_plans_without_jobs(spark):
+    """Full text is one scan without a join; tags with other evidence need no job before the plan runs."""
+    from shoal.plans.search import library
+
+    lib = library(Tables(spark, SF))
+    assert "Join" not in text_matches(lib.lines, 'the OR "in the" NOT of')._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setJobGroup("planning", "")
+    search(lib, Search(tags=["a"], content_key="c1", text="the", filename="x"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_unclassified_by_folder(spark):
+    rows = spark.createDataFrame([(1, 1, "/a", None, 0.1), (2, 1, "/b", 0.1, None), (3, 2, "/c", None, None)], "id long, folder_id long, path string, safe_score double, hentai_score double").withColumns({c: F.lit(0.0) for c in ("porn_score", "sexy_score", "drawing_score")} | {c: F.lit(False) for c in ("is_deleted", "is_missing")})
+    ids = lambda **o: sorted(r.id for r in filters.unclassified(rows, **o).collect())
+    assert ids() == [1, 2, 3] and ids(folder_id=1) == [1]
+
+
 def test_graph_loops(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 91), (91, 90)], "u long, v long")
     assert dict(map(tuple, connected(chain).collect())) == {**{k: 0 for k in range(41)}, 90: 90, 91: 90}
@@ -223,15 +282,36 @@ def test_scan_and_hash(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     got = {r.path.rsplit("/", 1)[1]: r.size_bytes for r in files.scan(spark, str(tmp_path)).collect()}
     assert got == {"x.PNG": 7, "z.mp4": 5}
+    # several paths: a single file counts whatever its name, one that isn't there counts for nothing
+    got = [r.path.rsplit("/", 1)[1] for r in files.scan(spark, [f"{tmp_path}/a", f"{tmp_path}/a/y.txt", f"{tmp_path}/a/x.PNG", f"{tmp_path}/none"]).collect()]
+    assert sorted(got) == ["x.PNG", "y.txt"] and files.scan(spark, [f"{tmp_path}/none"]).count() == 0
     row = spark.createDataFrame([(bytearray(b"abc" * 40000), True), (bytearray(b"abc" * 40000), False)], "c binary, ok boolean").select(files.content_hash(F.col("c"), F.col("ok")).alias("h")).collect()
     assert row[0].h == hashlib.sha256(b"abc" * 40000).hexdigest() and row[1].h == hashlib.sha256((b"abc" * 40000)[:65536]).hexdigest()
 
 
 def test_stream_restarts_where_it_stopped(spark, tmp_path):
-    schema = "image_id long, vector array<float>"
+    schema = "image_id long, vector array<float>, logits array<double>"
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: {r.image_id: r.state for r in indexing.run_index(indexing.incoming(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema), f"{tmp_path}/run").collect()}
-    put([(1, [1.0]), (2, None)])
-    assert run() == {1: "ready", 2: "failed"}
-    put([(2, [3.0]), (3, [2.0])])
-    assert run() == {1: "ready", 2: "ready", 3: "ready"}
+    gone = spark.createDataFrame([(9,)], "image_id long")
+    stream = lambda: indexing.incoming(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    run = lambda **o: {r.image_id: r for r in indexing.run_index(stream(), f"{tmp_path}/run", deleted=gone, **o).collect()}
+    states = lambda rows: {k: r.state for k, r in rows.items()}
+    put([(1, [1.0], [0.0, 2.0, 1.0]), (2, None, [1.0]), (9, [1.0], None)])
+    first = run()
+    assert states(first) == {1: "ready", 2: "failed"} and first[1].label == 1 and first[2].label is None
+    assert abs(first[1].score - np.exp(2) / (1 + np.exp(2) + np.e)) < 1e-12
+    assert run() == first and run() == first  # nothing new: the state is still there
+    put([(2, [3.0], None), (3, [2.0], [1.0, 1.0]), (1, None, None)])
+
+    def broken(rows):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception):
+        run(step=broken)
+    assert {r.image_id: r.state for r in indexing.state(spark, f"{tmp_path}/run").collect()} == {1: "preprocessing", 2: "preprocessing", 3: "preprocessing"}
+    after = run()
+    assert states(after) == {1: "failed", 2: "ready", 3: "ready"} and after[3].label == 0
+    assert after[1].checksum == first[1].checksum  # a failure keeps what was known
+    for k in range(10, 21):  # beyond a version that holds the whole state
+        put([(k, [1.0], None)])
+    assert len(run()) == 14 and [f for _, f in indexing.versions(spark, f"{tmp_path}/run") if f.endswith("-whole")]
