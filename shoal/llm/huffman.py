@@ -188,6 +188,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = files.groupBy("run").agg(F.sum("n").alias("n")).select("run", before(Window.orderBy("run")).alias("base"))  # a row a thousand files
     starts = files.withColumn("own", before(Window.partitionBy("run").orderBy("part"))).join(runs, "run").select("part", (F.col("base") + F.col("own")).alias("start"))
+    starts, _ = written(starts, "starts")  # Spark sees its size, and sends it to all tasks only while it is small
     sent = spark.sparkContext.broadcast(length)
 
     def run(batches):
