@@ -139,16 +139,17 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     gone = repeated_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least_chars, least_docs)
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64("text").alias("at"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("at"))
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("at")), "left")
-    out = out.select("row", "body", "drop", F.split("body", "\n", -1).alias("lines"))
+    body = F.coalesce("row.text", F.lit(""))  # the text travels once, within its row
+    out = out.select("row", "drop", F.split(body, "\n", -1).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")  # by hash, so a long text costs its length
     kept = F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n")
     out = out.select(
         "row",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drop").isNull(), F.col("body")).otherwise(kept).alias("kept"),
+        F.when(F.col("drop").isNull(), body).otherwise(kept).alias("kept"),
     )
     return out.select("row.*", "n_lines", "n_dropped", "kept")
 
