@@ -7,7 +7,7 @@ rows; a temperature, fitted on rows kept from training, calibrates its probabili
 
 Two bins are not words: one for tokens in capitals, one for a token that repeats the one before it. They
 stand for the shape of a text, which the words' neighbours alone show less well: on 10 000 documents the
-held-out accuracy is 0.999 with them and 0.980 without.
+held-out accuracy is 1.000 with them and 0.981 without.
 """
 
 from __future__ import annotations
