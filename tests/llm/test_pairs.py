@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -157,6 +158,18 @@ def test_components_of_a_long_chain(spark):
     assert dict(map(tuple, components(chain).collect())) == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_that_are_stars_already(spark, monkeypatch):
+    """Stars need no round; a second parent or a grandchild does."""
+    module, rounds = importlib.import_module(components.__module__), []
+    plain = module._star
+    monkeypatch.setattr(module, "_star", lambda links, large: rounds.append(large) or plain(links, large))
+    for links, none in (([(5, 1), (6, 1), (1, 7), (9, 8), (5, 1), (8, 8)], True), ([(5, 1), (5, 2)], False), ([(5, 2), (2, 1)], False)):
+        rounds.clear()
+        got = dict(map(tuple, components(spark.createDataFrame(links, "u long, v long")).collect()))
+        assert (not rounds) == none
+        assert got == ({1: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8} if none else {1: 1, 2: 1, 5: 1})
+
+
 def test_empty_tables(empty):
     assert lines.drop_repeated_lines(empty).count() == 0
     assert substrings.remove_repeats(empty).count() == 0
