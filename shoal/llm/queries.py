@@ -11,6 +11,7 @@ from .scratch import modest_batches
 from .sharding import ORACLE_OP6, op6_sharding
 from .simhash import op8_simhash
 from .substrings import op5_substring_dedup
+from .token_counts import op12_token_counts
 from .topk import ORACLE_OP1, op1_top_k
 from .toxicity import op3_toxicity
 
@@ -25,6 +26,7 @@ OPERATORS = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op12_token_counts": op12_token_counts,
 }
 
 
