@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .divergence import ORACLE_OP13, op13_source_divergence
 from .huffman import op7_token_ids
 from .lines import ORACLE_OP4, op4_line_dedup
+from .middle import ORACLE_OP11, op11_fill_in_middle
 from .packing import op10_packing
 from .quality import op2_quality
 from .scratch import modest_batches
@@ -26,7 +28,9 @@ OPERATORS = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_counts": op12_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 
@@ -44,4 +48,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_top_k": ORACLE_OP1,
     "op4_line_dedup": ORACLE_OP4,
     "op6_sharding": ORACLE_OP6,
+    "op11_fill_in_middle": ORACLE_OP11,
+    "op13_source_divergence": ORACLE_OP13,
 }
