@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.names import normalized_url, parent
 from ..shared import kept
 from ..sources.views import query
+from .numbering import numbered
+from .renames import applied
 
 
 def last_of(edits: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -23,25 +25,23 @@ def last_of(edits: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return one.select(*keys, "e.*")
 
 
-def numbered(rows: DataFrame, order: Sequence[str | Column], base: Column | int = 0, name: str = "id") -> DataFrame:
-    """Consecutive numbers from ``base`` + 1 in a total order, by sorted parts and their offsets: no task sees all rows."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    placed = kept(placed)
-    counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a part
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return placed.withColumn("_k", own).join(F.broadcast(offsets), "_p").withColumn(name, F.lit(0).cast("long") + base + F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")
+def keyed_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_when_null: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` by key; columns in ``keep_when_null`` keep the last value that isn't null.
 
-
-def keyed_upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_when_null: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` by key; columns in ``keep_when_null`` keep the old value where the new one is null."""
+    Rows of ``new`` that share a key count as if they came one by one, by the column ``order`` where it is
+    named and else by their values, so the result is one row a key. Null keys equal each other. Keys of
+    ``old`` are taken to be distinct.
+    """
     rest = [c for c in old.columns if c not in keys]
-    o = old.select(*keys, F.struct(*rest).alias("o"))
-    n = new.select(*keys, F.struct(*rest).alias("n"))
-    rows = o.join(n, list(keys), "full_outer")
-    value = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in keep_when_null else F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-    return rows.select(*keys, *[value(c).alias(c) for c in rest])
+    by = F.struct(*([order] if order else []), *rest)
+    last = [(F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), by)) if c in keep_when_null else F.max_by(c, by)).alias(c) for c in rest]
+    o = old.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias("_in"), *rest).alias("_o"))
+    n = new.groupBy(*keys).agg(*last).select(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias("_in"), *rest).alias("_n"))
+    same = [F.col(f"_o{i}").eqNullSafe(F.col(f"_n{i}")) for i in range(len(keys))]
+    rows = o.join(n, same, "full_outer")
+    there = F.col("_n").isNotNull()
+    value = lambda c: F.coalesce(F.col("_n")[c], F.col("_o")[c]) if c in keep_when_null else F.when(there, F.col("_n")[c]).otherwise(F.col("_o")[c])
+    return rows.select(*[F.when(there, F.col(f"_n{i}")).otherwise(F.col(f"_o{i}")).alias(k) for i, k in enumerate(keys)], *[value(c).alias(c) for c in rest]).select(old.columns)
 
 
 def append_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,10 +81,17 @@ def library_upsert(library: DataFrame, scan: DataFrame) -> DataFrame:
     return updated.unionByName(added.select(updated.columns))
 
 
-def score_writeback(assets: DataFrame, scores: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Scores by id; rows without a score stay as they are."""
-    rows = assets.join(scores.select("id", F.struct(*columns).alias("s")), "id", "left")
-    return rows.withColumns({c: F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(F.col(c)) for c in columns}).drop("s")
+def score_writeback(assets: DataFrame, scores: DataFrame, columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """Scores by id; rows without a score stay as they are.
+
+    Of several scores of an id the last counts, by the column ``order`` where it is named and else by value;
+    assets that share an id each get it.
+    """
+    by = F.struct(*([order] if order else []), *columns)
+    last = scores.groupBy(F.col("id").alias("_id")).agg(F.max_by(F.struct(*columns), by).alias("_new"))
+    rows = assets.join(last, F.col("id") == F.col("_id"), "left")
+    new = {c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)) for c in columns}
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in assets.columns])
 
 
 def queue_unindexed(assets: DataFrame, vectors: DataFrame, folder_id: int) -> DataFrame:
@@ -160,12 +167,17 @@ def merge_folders(assets: DataFrame, folders: DataFrame, source: int, target: in
 
 
 def identity_merge(identities: DataFrame, detections: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Renames ``(identity_id, name)``; where the name is another identity's, detections move to it and the old one goes."""
-    taken = identities.select(F.col("identity_id").alias("to_id"), "name")
-    hits = renames.join(taken, "name").where("identity_id <> to_id").select(F.col("identity_id").alias("from_id"), "to_id")
-    left = identities.join(hits.select(F.col("from_id").alias("identity_id")), "identity_id", "left_anti")
-    named = left.join(renames.select("identity_id", F.col("name").alias("new")), "identity_id", "left").select("identity_id", F.coalesce("new", "name").alias("name"))
-    return named, remapped(detections, "identity_id", hits)
+    """Identities and detections after renames ``(identity_id, name)``, as if these came one by one.
+
+    They come in order of ``seq`` where there is such a column, then of identity and name. A name is trimmed;
+    where another identity holds it at that time, detections move to that one and the renamed identity goes.
+    An identity that went takes no more renames; detections point to where its merges end.
+    """
+    order = [c for c in ("seq", "identity_id", "name") if c in renames.columns]
+    ops = numbered(renames.withColumn("name", F.trim("name")).select(*order), order, name="t").select("t", F.col("identity_id").cast("long").alias("identity_id"), "name")
+    left, merges = applied(identities, ops)
+    kind = detections.schema["identity_id"].dataType
+    return left, remapped(detections, "identity_id", merges.select(*[F.col(c).cast(kind).alias(c) for c in ("from_id", "to_id")]))
 
 
 def identity_prune(identities: DataFrame, detections: DataFrame) -> DataFrame:
@@ -246,12 +258,14 @@ def _library_upsert(t):
 
 
 @query("keyed_upsert", """
-WITH o AS (SELECT o_orderkey AS k, o_custkey AS a, o_orderpriority AS etag FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, -o_custkey AS a, CASE WHEN o_orderkey % 4 = 0 THEN 'new' END AS etag FROM orders WHERE o_orderkey % 2 = 0)
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS a, o_orderpriority AS etag FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT * FROM orders, (SELECT unnest([1, 2]) AS seq) WHERE o_orderkey % 2 = 0 AND (seq = 1 OR o_orderkey % 10 = 0)),
+n AS (SELECT o_orderkey AS k, arg_max(-o_custkey * seq, seq) AS a, max(CASE WHEN o_orderkey % 4 = 0 AND seq = 1 THEN 'new' END) AS etag FROM r GROUP BY 1)
 SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.a ELSE o.a END AS a, coalesce(n.etag, o.etag) AS etag FROM o FULL JOIN n ON o.k = n.k""")
 def _keyed_upsert(t):
     old = t.orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"), F.col("o_orderpriority").alias("etag"))
-    new = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), (-F.col("o_custkey")).alias("a"), F.when(F.col("o_orderkey") % 4 == 0, "new").alias("etag"))
-    return keyed_upsert(old, new, ["k"], ["etag"])
+    seq = F.explode(F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))  # some keys come twice
+    new = t.orders.where("o_orderkey % 2 = 0").withColumn("seq", seq).select(F.col("o_orderkey").alias("k"), (-F.col("o_custkey") * F.col("seq")).alias("a"), F.when((F.col("o_orderkey") % 4 == 0) & (F.col("seq") == 1), "new").alias("etag"), "seq")
+    return keyed_upsert(old, new, ["k"], ["etag"], "seq")
 
 
 @query("append_new", "WITH o AS (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber < 3) SELECT k, n FROM o UNION ALL SELECT * FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0) WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (k, n) FROM o)")
@@ -260,10 +274,11 @@ def _append_new(t):
     return append_new(rows.where("n < 3"), rows.where("k % 2 = 0"), ["k", "n"])
 
 
-@query("score_writeback", "SELECT id, CASE WHEN id % 4 = 0 THEN 0.25::DOUBLE ELSE safe_score END AS safe_score FROM assets", "assets")
+@query("score_writeback", "SELECT id, CASE WHEN id % 12 = 0 THEN 0.125::DOUBLE WHEN id % 4 = 0 THEN 0.25::DOUBLE ELSE safe_score END AS safe_score FROM assets", "assets")
 def _score_writeback(t):
-    scores = t.assets.where("id % 4 = 0").select("id", F.lit(0.25).alias("safe_score"))
-    return score_writeback(t.assets.select("id", "safe_score"), scores, ["safe_score"])
+    scores = t.assets.where("id % 4 = 0").select("id", F.lit(0.25).alias("safe_score"), F.lit(1).alias("seq"))
+    again = t.assets.where("id % 12 = 0").select("id", F.lit(0.125).alias("safe_score"), F.lit(2).alias("seq"))  # a third of them are scored twice
+    return score_writeback(t.assets.select("id", "safe_score"), scores.unionByName(again), ["safe_score"], "seq")
 
 
 def _vectors(t) -> DataFrame:
@@ -338,11 +353,21 @@ def _merge_folders(t):
     return merge_folders(t.assets, folders, 3, 0)[0].groupBy(F.col("folder_id").cast("long").alias("folder_id")).agg(F.count("*").alias("n"))
 
 
-@query("identity_merge", "SELECT CASE identity_id WHEN 5 THEN 2 WHEN 6 THEN 3 ELSE identity_id END AS identity_id, count(*) AS n FROM detections GROUP BY 1", "detections")
+#: Renames in order: a chain of merges, a name given up and taken by another, a swap, an identity's own name, one that went already.
+RENAMES = [(5, "n2"), (2, "n3"), (6, "fresh"), (6, "other"), (7, "fresh"), (8, "n9"), (9, "n8"), (4, " n4 "), (5, "late")]
+
+
+@query("identity_merge", """
+WITH d AS (SELECT CASE identity_id WHEN 5 THEN 3 WHEN 2 THEN 3 WHEN 8 THEN 9 ELSE identity_id END AS identity_id FROM detections),
+i AS (SELECT DISTINCT identity_id, CASE identity_id WHEN 6 THEN 'other' WHEN 7 THEN 'fresh' WHEN 9 THEN 'n8' ELSE 'n' || identity_id END AS name FROM detections WHERE identity_id IS NOT NULL AND identity_id NOT IN (5, 2, 8))
+SELECT coalesce(d.identity_id, i.identity_id) AS identity_id, any_value(name) AS name, count(*) AS n FROM d FULL JOIN i ON d.identity_id = i.identity_id GROUP BY 1""", "detections")
 def _identity_merge(t):
     ids = t.detections.where("identity_id IS NOT NULL").select("identity_id", F.concat(F.lit("n"), F.col("identity_id").cast("string")).alias("name")).distinct()
-    renames = ids.where("identity_id IN (5, 6, 7)").select("identity_id", F.element_at(F.create_map(F.lit(5), F.lit("n2"), F.lit(6), F.lit("n3"), F.lit(7), F.lit("fresh")), F.col("identity_id")).alias("name"))
-    return identity_merge(ids, t.detections, renames)[1].groupBy("identity_id").agg(F.count("*").alias("n"))
+    one = F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(i).alias("identity_id"), F.lit(n).alias("name")) for k, (i, n) in enumerate(RENAMES)]))
+    renames = ids.agg(F.count("*")).select(one.alias("r")).select("r.*")
+    left, moved = identity_merge(ids, t.detections, renames)
+    counts = moved.groupBy("identity_id").agg(F.count("*").alias("n"))
+    return counts.join(left, "identity_id", "full_outer").select("identity_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("identity_prune", "SELECT DISTINCT label AS identity_id FROM embeddings WHERE label IN (SELECT identity_id FROM detections WHERE id % 50 = 7)", "detections")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.views import query
 from .changes import numbered
 from .graph import connected
+from .metric import cosine_radius, in_balls
 from .similarity import in_blocks, unit
 
 
@@ -37,7 +38,7 @@ def new_identities(unmatched: DataFrame, base: int, threshold: float = 0.178) ->
     Identities are numbered from ``base`` + 1 in order of their smallest detection. Unlike a greedy pass the
     result doesn't depend on the order of arrival.
     """
-    links = in_blocks(unmatched, unmatched, lambda q, r: _forest(q, r, threshold), "u long, v long")
+    links = in_balls(unmatched, unmatched, cosine_radius(threshold), lambda q, r: _forest(q, r, threshold), "u long, v long")
     labels = connected(links).withColumnRenamed("node", "id")
     rows = unmatched.select("id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     ids = numbered(rows.select("label").distinct(), ["label"], base, "identity_id")

@@ -1,4 +1,4 @@
-"""Similarity joins: perceptual hashes, vectors, identities, boxes."""
+"""Similarity joins: perceptual hashes, vectors, identities."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalized
 from ..sources.views import query
+from .metric import cosine_radius, in_balls
 
 #: Rows and queries of one block of a vector search.
 ROWS, QUERIES = 8192, 1024
@@ -148,7 +149,8 @@ def centroids(references: DataFrame) -> DataFrame:
 def identity_match(detections: DataFrame, references: DataFrame, threshold: float = 0.178, mode: str = "best") -> DataFrame:
     """``(detection_id, identity_id, distance)`` of detections within ``threshold`` of an identity.
 
-    The mean distance to an identity's unit vectors is one minus the product with their mean. ``best`` takes
+    The mean distance to an identity's unit vectors is one minus the product with their mean, and a mean of
+    unit vectors is no longer than one, so detections meet the balls of means that they may match. ``best`` takes
     the smallest distance (ties to the smaller id), ``first`` the smallest id within the threshold.
     """
     asked = detections.where("vector IS NOT NULL").select("id", l2_normalized(F.col("vector")).alias("v"))
@@ -164,7 +166,7 @@ def identity_match(detections: DataFrame, references: DataFrame, threshold: floa
         ok = d <= threshold
         return pd.DataFrame({"detection_id": q["id"].to_numpy()[ok], "identity_id": r["id"].to_numpy()[at][ok], "distance": d[ok]})
 
-    near = in_blocks(asked, centroids(references), found, "detection_id long, identity_id long, distance double")
+    near = in_balls(asked, centroids(references), cosine_radius(threshold), found, "detection_id long, identity_id long, distance double")
     order = F.struct("distance", "identity_id") if mode == "best" else F.struct("identity_id", "distance")
     return near.groupBy("detection_id").agg(F.min(order).alias("m")).select("detection_id", "m.identity_id", "m.distance")
 
@@ -175,33 +177,6 @@ def reidentified(detections: DataFrame, threshold: float = 0.178) -> DataFrame:
     return detections.where("vector IS NOT NULL").select(F.col("id").alias("detection_id")).join(best.select("detection_id", "identity_id"), "detection_id", "left")
 
 
-def boxes_in_regions(boxes: DataFrame, regions: DataFrame, pad: int = 20) -> DataFrame:
-    """``(image_id, box_id, region)``, one row a box: the last region that holds the box's centre, padded; null for orphans."""
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    points = boxes.select("image_id", "box_id", x.alias("x"), y.alias("y"))
-    areas = regions.select("image_id", F.col("region"), *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")])
-    inside = F.col("x").between(F.col("rx0") - pad, F.col("rx1") + pad) & F.col("y").between(F.col("ry0") - pad, F.col("ry1") + pad)
-    held = points.join(areas, "image_id").where(inside).groupBy("image_id", "box_id").agg(F.max("region").alias("region"))
-    return points.select("image_id", "box_id").distinct().join(held, ["image_id", "box_id"], "left")
-
-
-def _overlap(a: Column, b: Column) -> Column:
-    """Intersection over union of two boxes."""
-    w = F.greatest(F.lit(0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
-    h = F.greatest(F.lit(0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-    return (w * h) / (area(a) + area(b) - w * h)
-
-
-def suppressed(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``(image_id, box_id)`` of boxes that stay: by confidence, those that overlap no box kept before them."""
-    entry = F.struct((-F.col("confidence").cast("double")).alias("order"), "box_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(entry)).alias("b"))
-    empty = F.slice("b", 1, 0)
-    kept = F.aggregate("b", empty, lambda held, x: F.when(F.exists(held, lambda k: _overlap(k, x) > threshold), held).otherwise(F.concat(held, F.array(x))))
-    return lists.select("image_id", F.explode(kept).alias("k")).select("image_id", "k.box_id")
-
-
 PHASH = "SELECT o_orderkey AS id, xor(CAST('0x' || substr(md5(CAST(o_orderkey % 300 AS VARCHAR)), 1, 15) AS BIGINT), (CAST(1 AS BIGINT) << CAST(o_orderkey % 7 AS INT)) | (CAST(1 AS BIGINT) << CAST(o_custkey % 60 AS INT))) AS hash FROM orders"
 
 
@@ -261,16 +236,3 @@ def _identity_match(t):
 def _reidentify_all(t):
     rows = reidentified(t.detections, 0.96)
     return rows.agg(F.count("*").alias("total"), F.count("identity_id").alias("matched"), (F.count("*") - F.count("identity_id")).alias("unmatched"))
-
-
-@query("box_in_region", """
-WITH r AS (SELECT *, box_id AS region FROM boxes WHERE box_id < 3000000000), b AS (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM boxes WHERE box_id >= 3000000000)
-SELECT b.image_id, b.box_id, max(r.region) AS region FROM b LEFT JOIN r ON r.image_id = b.image_id AND x BETWEEN r.x0 - 20 AND r.x1 + 20 AND y BETWEEN r.y0 - 20 AND r.y1 + 20 GROUP BY ALL""", "boxes")
-def _box_in_region(t):
-    line = F.col("box_id") < 3000000000
-    return boxes_in_regions(t.boxes.where(~line), t.boxes.where(line).withColumn("region", F.col("box_id")))
-
-
-@query("nms")
-def _nms(t):
-    return suppressed(t.boxes)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from ..sources.views import query
 from .filters import is_video, live
 from .graph import connected
+from .numbering import numbered
 
 #: Which extensions a storage category has.
 CATEGORIES = {"Images": ("png", "jpg", "jpeg", "webp", "bmp", "tiff"), "GIFs": ("gif",), "Videos": ("mp4", "webm")}
@@ -67,15 +69,37 @@ def text_of_images(lines: DataFrame) -> DataFrame:
     return parts.select("image_id", F.concat_ws("\n", F.col("lines.text")).alias("text"))
 
 
+def overlap_candidates(held: DataFrame, sizes: DataFrame, share: float) -> DataFrame:
+    """``(small, large)``: folder pairs that may share more than ``share`` of the smaller one's ``size``.
+
+    ``held(folder, content_key)`` has distinct rows, ``sizes(folder, size)`` what a share is of. A folder's contents are
+    ordered by how few folders hold them. To share ``least`` contents, two folders must meet in one of the
+    first ``n - least + 1`` of each, so the smaller folder's commonest contents look for no partner, and a
+    content of very many folders makes pairs only where it is among the rarest of one. Both folders' size
+    and the places of the content they meet in bound what they can still share.
+    """
+    common = held.groupBy("content_key").agg(F.count("*").alias("folders")).where("folders > 1")
+    all_of = held.groupBy("folder").agg(F.count("*").alias("n")).join(sizes, "folder")
+    least = F.greatest(F.floor(F.col("size") * share - 1e-6) + 1, F.lit(1))
+    # places come from one sorted numbering, so that a folder with very many contents isn't one task's
+    placed, _ = written(numbered(held.join(common, "content_key").select("folder", "folders", "content_key"), ["folder", "folders", "content_key"], name="k").select("folder", "content_key", "k"), "placed")
+    own = placed.groupBy("folder").agg(F.max("k").alias("last"))
+    rows = placed.join(own.join(all_of, "folder"), "folder").select("folder", "content_key", "size", "n", least.alias("least"), (F.col("last") - F.col("k") + 1).alias("rest"))
+    rows, _ = written(rows, "ranked")  # rest: how many contents a folder has from this one on
+    small = rows.where("rest >= least").select("content_key", F.struct("size", F.col("folder").alias("id")).alias("s"), "least", F.col("rest").alias("s_rest"))
+    large = rows.select("content_key", F.struct("size", F.col("folder").alias("id")).alias("l"), F.col("rest").alias("l_rest"))
+    met = small.join(large, "content_key").where("s < l AND l_rest >= least")
+    return met.select(F.col("s.id").alias("small"), F.col("l.id").alias("large")).distinct()
+
+
 def folder_overlap(assets: DataFrame, share: float = 0.5) -> DataFrame:
     """``(a, b, shared, smaller)``: folder pairs whose distinct common contents exceed a share of the smaller one."""
-    held = live(assets).select(F.col("folder_id").alias("folder"), "content_key").distinct()
+    held, _ = written(live(assets).where("content_key IS NOT NULL").select(F.col("folder_id").alias("folder"), "content_key").distinct(), "held")
     sizes = live(assets).groupBy(F.col("folder_id").alias("folder")).agg(F.count("*").alias("size"))
-    left, right = held.select(F.col("folder").alias("a"), "content_key"), held.select(F.col("folder").alias("b"), "content_key")
-    pairs = left.join(right, "content_key").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(sizes.select(F.col("folder").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("folder").alias("b"), F.col("size").alias("size_b")), "b")
-    smaller = F.least("size_a", "size_b")
-    return sized.where(F.col("shared") / smaller > share).select("a", "b", "shared", smaller.alias("smaller"))
+    pairs, _ = written(overlap_candidates(held, sizes, share), "candidates")
+    both = pairs.join(held.withColumnRenamed("folder", "small"), "small").join(held.withColumnRenamed("folder", "large"), ["large", "content_key"], "left_semi")
+    shared = both.groupBy("small", "large").agg(F.count("*").alias("shared")).join(sizes.withColumnsRenamed({"folder": "small", "size": "smaller"}), "small")
+    return shared.where(F.col("shared") / F.col("smaller") > share).select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "shared", "smaller")
 
 
 def duplicate_folder_groups(assets: DataFrame, share: float = 0.5) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -14,6 +13,7 @@ from ..operators.details import PARSED, parsed_rows
 from ..operators.filters import filename_contains, live, media_kind, parsed_terms, with_tags
 from ..operators.similarity import PHASH, hash_neighbours, perceptual, unit
 from ..sources.views import query
+from .fulltext import text_matches
 
 #: Rank of the kinds of evidence.
 EXACT, PERCEPTUAL, SEMANTIC = 0, 1, 2
@@ -53,47 +53,6 @@ class Search:
     limit: int = 100
 
 
-def _has(line: Column, term: str) -> Column:
-    """Of a line ``" word word "``: it holds a word, ``"a phrase"`` or ``prefix*``."""
-    own = term.strip('"').lower().split()
-    if term.startswith('"'):
-        return line.contains(f" {' '.join(own)} ") if own else F.lit(True)
-    return line.contains(f" {term[:-1].lower()}") if term.endswith("*") else line.contains(f" {term.lower()} ")
-
-
-def text_matches(lines: DataFrame, text: str) -> DataFrame:
-    """``image_id`` of images with a line that matches: words all, ``OR`` between alternatives, ``NOT word``, ``"a phrase"``, ``prefix*``.
-
-    A line is one row, so a search is one predicate on it: one scan, and no shuffle but for distinct images.
-    """
-    terms, word, quoted = [], "", False
-    for c in text + " ":
-        if c == '"':
-            quoted = not quoted
-        if c == " " and not quoted:
-            terms += [word] if word else []
-            word = ""
-        else:
-            word += c
-    groups: list[tuple[list[str], list[str]]] = [([], [])]
-    negative = False
-    for term in terms:
-        if term == "OR":
-            groups.append(([], []))
-        elif term == "NOT":
-            negative = True
-        else:
-            groups[-1][negative].append(term)
-            negative = False
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-
-    def holds(line: Column) -> Column:
-        alternatives = [reduce(and_, [_has(line, w) for w in wanted] + [~_has(line, w) for w in unwanted]) for wanted, unwanted in groups if wanted]
-        return reduce(or_, alternatives, F.lit(False))
-
-    return lines.where(F.exists(F.array(plain), holds)).select("image_id").distinct()
-
-
 def nearest(query: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``(id, score)``: the k rows nearest to one ``query(id, v)`` by cosine, its own row left out; the query's single row is sent to all tasks."""
     one = F.broadcast(query.limit(1).select(F.col("id").alias("_own"), F.col("v").alias("_q")))
@@ -194,14 +153,6 @@ def _candidate_union(t):
     return filename_contains(t.assets, "illust_1000").select("id").union(t.text_lines.select("image_id")).distinct()
 
 
-@query("fts_search", r"""
-WITH l AS (SELECT id, image_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM text_lines)
-SELECT DISTINCT image_id FROM l WHERE list_contains(w, 'the') AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND NOT list_contains(w, 'of')
- OR len(list_filter(list_zip(w, w[2:]), lambda p: p[1] = 'in' AND p[2] = 'the')) > 0""", "text_lines")
-def _fts_search(t):
-    return text_matches(t.text_lines, 'the th* NOT of OR "in the"')
-
-
 @query("stale_vectors", "SELECT id AS image_id FROM assets WHERE id % 3 = 0 AND id NOT IN (SELECT vec_id FROM embeddings)", "assets")
 def _stale_vectors(t):
     ready = t.assets.where("id % 3 = 0").select(F.col("id").alias("image_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions import names
 from shoal.functions.vectors import cosine_distance, vector_checksum
-from shoal.operators import changes, details, filters, groups, ranking, similarity, stats, windows
+from shoal.operators import boxes, changes, details, filters, groups, ranking, similarity, stats, windows
 from shoal.operators.graph import closure, connected
 from shoal.plans.search import Library, Search, search, text_matches
 from shoal.sources import files
@@ -118,7 +118,7 @@ def test_hash_pairs_against_brute_force(spark):
 
 def test_suppression_against_plain_loop(spark):
     t = Tables(spark, SF)
-    got = Counter((r.image_id, r.box_id) for r in similarity.suppressed(t.boxes).collect())
+    got = Counter((r.image_id, r.box_id) for r in boxes.suppressed(t.boxes).collect())
     want = Counter()
     for image, rows in itertools.groupby(sorted(t.boxes.collect(), key=lambda r: (r.image_id, -float(r.confidence), r.box_id)), key=lambda r: r.image_id):
         kept = []
