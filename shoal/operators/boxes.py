@@ -145,8 +145,7 @@ def _box_in_region(t):
     return boxes_in_regions(t.boxes.where(~line), t.boxes.where(line).withColumn("region", F.col("box_id")))
 
 
-@query("nms", """WITH RECURSIVE
-b AS (SELECT image_id, box_id, {'x0': x0::DOUBLE, 'y0': y0::DOUBLE, 'x1': x1::DOUBLE, 'y1': y1::DOUBLE, 'box_id': box_id} AS s, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, box_id) AS k FROM (SELECT DISTINCT * FROM boxes)),
+@query("nms", """WITH RECURSIVE b AS (SELECT image_id, box_id, {'x0': x0::DOUBLE, 'y0': y0::DOUBLE, 'x1': x1::DOUBLE, 'y1': y1::DOUBLE, 'box_id': box_id} AS s, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, box_id) AS k FROM (SELECT DISTINCT * FROM boxes)),
 r(image_id, k, kept) AS (SELECT image_id, k, [s] FROM b WHERE k = 1 UNION ALL SELECT b.image_id, b.k, CASE WHEN len(list_filter(r.kept, lambda c: greatest(0, least(c.x1, b.s.x1) - greatest(c.x0, b.s.x0)) * greatest(0, least(c.y1, b.s.y1) - greatest(c.y0, b.s.y0))
   / ((c.x1 - c.x0) * (c.y1 - c.y0) + (b.s.x1 - b.s.x0) * (b.s.y1 - b.s.y0) - greatest(0, least(c.x1, b.s.x1) - greatest(c.x0, b.s.x0)) * greatest(0, least(c.y1, b.s.y1) - greatest(c.y0, b.s.y0))) > 0.5)) > 0 THEN r.kept ELSE list_append(r.kept, b.s) END
  FROM r JOIN b ON b.image_id = r.image_id AND b.k = r.k + 1)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from ..sources.views import query
 
+#: Ids of assets that are sent to all tasks.
+MOST_IDS = 100_000
 #: Order of tag categories in an asset's view and in a tagger's output.
 VIEW_ORDER = {"character": 1, "copyright": 2, "meta": 3}
 TAGGER_ORDER = {"character": 0, "copyright": 1, "meta": 2}
@@ -52,8 +55,19 @@ def tag_lists(asset_tags: DataFrame, tags: DataFrame, preferred: int, own: int,
     return out.select("image_id", *[F.col(f"{c}.name").alias(c) for c in out.columns[1:]])
 
 
-def image_details(assets: DataFrame, asset_tags: DataFrame, tags: DataFrame, vectors: DataFrame, parsed: DataFrame, detections: DataFrame, lines: DataFrame, preferred: int = 1, own: int = 0, hidden: int = 3, blacklisted: bool = False) -> DataFrame:
-    """One row an asset with its tags, vector state, parsed metadata, identities and text."""
+def image_details(assets: DataFrame, asset_tags: DataFrame, tags: DataFrame, vectors: DataFrame, parsed: DataFrame, detections: DataFrame, lines: DataFrame, preferred: int = 1, own: int = 0, hidden: int = 3, blacklisted: bool = False, ids: DataFrame | None = None) -> DataFrame:
+    """One row an asset with its tags, vector state, parsed metadata, identities and text.
+
+    With ``ids(id)`` of these assets only: every satellite keeps the rows of wanted assets before it is grouped,
+    by a broadcast of the ids while they are at most ``MOST_IDS``, else by a join that shares the grouping's
+    partitioning.
+    """
+    if ids is not None:
+        wanted = ids.select(F.col("id").alias("image_id")).where("image_id IS NOT NULL").distinct()
+        wanted = written(wanted, "wanted")[0]
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
+        own_rows = lambda df, key="image_id": df.join(wanted.withColumnRenamed("image_id", key), key, "left_semi")
+        assets, asset_tags, vectors, parsed, detections, lines = own_rows(assets, "id"), *map(own_rows, (asset_tags, vectors, parsed, detections, lines))
     found = detections.where("identity_id IS NOT NULL").groupBy("image_id").agg(F.sort_array(F.collect_set("identity_id")).alias("identities"))
     text = lines.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("lines")).select("image_id", F.concat_ws("\n", F.col("lines.text")).alias("ocr_text"))
     out = assets.withColumnRenamed("id", "image_id")
@@ -112,8 +126,7 @@ def _image_details(t):
 @query("image_detail_one", details_sql("id = (SELECT min(id) FROM assets WHERE NOT is_deleted AND id > 100)", ", coalesce(n_blacklisted, 0) AS n_blacklisted"), "assets asset_tags tags detections text_lines")
 def _image_detail_one(t):
     one = t.assets.where("NOT is_deleted AND id > 100").agg(F.min("id").alias("id"))
-    rows = t.assets.join(F.broadcast(one), "id", "left_semi")
-    return _flat(_all(t, rows, blacklisted=True), F.size("blacklisted").cast("long").alias("n_blacklisted"))
+    return _flat(_all(t, t.assets, blacklisted=True, ids=one), F.size("blacklisted").cast("long").alias("n_blacklisted"))
 
 
 @query("resolve_source", "WITH w AS (SELECT l_linenumber AS k, CASE l_linenumber % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'ai:tagger-a' WHEN 2 THEN 'ai:tagger-b' WHEN 3 THEN 'filename_parser' ELSE 'nobody' END AS source FROM lineitem) SELECT source, id AS source_id, count(*) AS n FROM w LEFT JOIN sources ON name = source GROUP BY ALL", "sources")

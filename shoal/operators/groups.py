@@ -64,7 +64,10 @@ def concept_match(samples: DataFrame, images: DataFrame, threshold: float = 0.7)
     return near.join(samples.where("NOT positive").select("concept", "id"), ["concept", "id"], "left_anti")
 
 
-@query("new_identities")
+@query("new_identities", """WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON 1 - list_cosine_similarity(a.v, b.v) <= 0.55), r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+m AS (SELECT u AS id, min(v) AS label FROM r GROUP BY 1), n AS (SELECT id, 100 + dense_rank() OVER (ORDER BY label) AS identity_id FROM m)
+SELECT id, identity_id, 'Character ' || identity_id AS name FROM n""")
 def _new_identities(t):
     rows = unit(t.embeddings)
     return new_identities(rows, 100, 0.55)

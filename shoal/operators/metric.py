@@ -13,6 +13,7 @@ size, queries too; no task sees more than one block of each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,13 +71,23 @@ def _asked(batches: Iterable[pa.RecordBatch], pivots: np.ndarray, balls: np.ndar
 def in_balls(queries: DataFrame, rows: DataFrame, distance: float, found: Callable, schema: str, block: int = ROWS, together: int = QUERIES) -> DataFrame:
     """Apply ``found(queries, rows)`` to blocks of ``queries(id, v)`` and ``rows(id, v)`` that cover every pair within the Euclidean ``distance``.
 
-    Vectors have one length; those of null are left out. ``block`` and ``together`` are the rows and queries of a block.
+    Only vectors of one length meet, each length by itself; those of null are left out. ``block`` and ``together`` are
+    the rows and queries of a block.
     """
-    queries, rows = queries.where("v IS NOT NULL").select("id", "v"), rows.where("v IS NOT NULL").select("id", "v")
-    n, m = rows.count(), queries.count()
-    empty = queries.sparkSession.createDataFrame([], schema)
-    if not n or not m:
-        return empty
+    queries, rows = queries.where("size(v) > 0").select("id", "v"), rows.where("size(v) > 0").select("id", "v")
+    counted = lambda df: dict(df.groupBy(F.size("v")).count().collect())  # noqa: E731  a row a length
+    ns, ms = counted(rows), counted(queries)
+    lengths = sorted(set(ns) & set(ms))
+    if len(lengths) == 1:
+        one = lengths[0]
+        own = lambda df, of: df if set(of) == {one} else df.where(F.size("v") == one)
+        return _in_balls(own(queries, ms), own(rows, ns), ns[one], ms[one], distance, found, schema, block, together)
+    of_length = lambda k: (x.where(F.size("v") == k) for x in (queries, rows))
+    parts = [_in_balls(*of_length(k), ns[k], ms[k], distance, found, schema, block, together) for k in lengths]
+    return reduce(DataFrame.unionByName, parts, queries.sparkSession.createDataFrame([], schema))
+
+
+def _in_balls(queries: DataFrame, rows: DataFrame, n: int, m: int, distance: float, found: Callable, schema: str, block: int, together: int) -> DataFrame:
     pivots = _pivots(rows, n, max(1, min(MOST_PIVOTS, 2 * -(-n // block))))
     sent = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
     vector = rows.schema["v"].dataType.simpleString()

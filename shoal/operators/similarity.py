@@ -60,10 +60,18 @@ def in_blocks(queries: DataFrame, rows: DataFrame, found, schema: str) -> DataFr
 
 
 def _best(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of a block by cosine, ties to the smaller id."""
+    """The k nearest of a block by cosine, ties to the smaller id; only vectors of one length compare."""
+    out, length, lengths = [], q["v"].map(len), r["v"].map(len)
+    for n in np.intersect1d(length.unique(), lengths.unique()):
+        same = q[length == n]
+        near = r[lengths == n].sort_values("id", kind="stable")
+        out.append(_best_of_one_length(same, near, k))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+
+
+def _best_of_one_length(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(q) and len(r):
-        r = r.sort_values("id", kind="stable")
         ids, scores = r["id"].to_numpy(), np.stack(q["v"]) @ np.stack(r["v"]).T
         top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
         for own, s, at in zip(q["id"].to_numpy(), scores, top):
@@ -221,6 +229,16 @@ def _knn_lsh(t):
     return knn_lists(rows.where("id % 20 = 0"), rows)
 
 
+@query("knn_lsh_recall", "SELECT count(*) AS asked, true AS reached FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def _knn_lsh_recall(t):
+    """Whether nine of ten true neighbours are in what the lists find."""
+    rows = unit(t.embeddings)
+    asked = rows.where("id % 20 = 0")
+    found = knn_lists(asked, rows).select("query_id", "id", F.lit(1).alias("hit"))
+    both = knn_exact(asked, rows).select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("asked"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 MATCH = """WITH n AS (SELECT id, identity_id, [CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN vector])) FOR x IN vector] AS v FROM detections),
 p AS (SELECT id, identity_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM n), c AS (SELECT identity_id AS c, k, avg(x) AS x FROM p WHERE identity_id IS NOT NULL GROUP BY ALL),
 d AS (SELECT id AS detection_id, c.c AS identity_id, 1 - sum(p.x * c.x) AS distance FROM p JOIN c USING (k) GROUP BY ALL),

@@ -96,8 +96,8 @@ def _filename_index(t):
     return index.contains(r"lust\_1000%4").select("id")
 
 
-@query("suggest_index", "SELECT id, name FROM tags WHERE category = 'character' AND name ILIKE '%green%' ORDER BY name, id LIMIT 30", "tags")
+@query("suggest_index", "SELECT id, name FROM tags WHERE category = 'character' AND name ILIKE '%idge%' ORDER BY name, id LIMIT 30", "tags")
 def _suggest_index(t):
     """Tag suggestions while one types: the index holds the names of one category."""
     index = NameIndex.create(t.tags.where("category = 'character'").select("id", F.col("name").alias("text")), fresh_path(t.spark, "name-index"))
-    return index.contains("green").orderBy("text", "id").limit(30).select("id", F.col("text").alias("name"))
+    return index.contains("idge").orderBy("text", "id").limit(30).select("id", F.col("text").alias("name"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..operators.changes import replace_groups
 from ..operators.details import PARSED, parsed_rows
 from ..operators.filters import filename_contains, live, media_kind, parsed_terms, with_tags
 from ..operators.similarity import PHASH, hash_neighbours, perceptual, unit
+from ..operators.stats import VECTORS, vectors
 from ..sources.views import query
 from .fulltext import text_matches
 
@@ -153,7 +155,9 @@ def _candidate_union(t):
     return filename_contains(t.assets, "illust_1000").select("id").union(t.text_lines.select("image_id")).distinct()
 
 
-@query("stale_vectors", "SELECT id AS image_id FROM assets WHERE id % 3 = 0 AND id NOT IN (SELECT vec_id FROM embeddings)", "assets")
+@query("stale_vectors", f"WITH v AS ({VECTORS}) SELECT image_id, CASE WHEN state = 'ready' AND image_id NOT IN (SELECT vec_id FROM embeddings) THEN 'pending' ELSE state END AS state FROM v", "assets")
 def _stale_vectors(t):
-    ready = t.assets.where("id % 3 = 0").select(F.col("id").alias("image_id"))
-    return ready.join(t.embeddings.select(F.col("vec_id").alias("image_id")), "image_id", "left_anti")
+    """Rows that are ready but not in the index wait again."""
+    states = vectors(t)
+    lost = states.where("state = 'ready'").join(t.embeddings.select(F.col("vec_id").alias("image_id")), "image_id", "left_anti")
+    return replace_groups(states, lost.withColumn("state", F.lit("pending")), "image_id")

@@ -145,3 +145,27 @@ def current(log: DataFrame) -> DataFrame:
     since = log.groupBy("image_id").agg(F.coalesce(F.max(F.when(F.col("state") == "removed", F.col("step"))), F.lit(-1)).alias("gone"))
     rows = log.join(since, "image_id").where(F.col("step") > F.col("gone"))
     return rows.groupBy("image_id").agg(F.max_by("state", "step").alias("state"), F.max_by("tries", "step").alias("tries"), known("checksum"), known("label"), known("score"))
+
+
+@query("stream_queue", """
+WITH e AS (SELECT vec_id AS image_id, CASE WHEN vec_id % 10 = 0 THEN 'failed' WHEN vec_id % 3 = 0 THEN 'stale' ELSE 'ready' END AS state, CASE WHEN vec_id % 10 = 0 THEN 3 ELSE 0 END AS tries FROM embeddings)
+SELECT image_id, state, CAST(tries AS INT) AS tries, state <> 'failed' AS known FROM e WHERE image_id NOT IN (SELECT id FROM assets WHERE is_deleted)""", "assets")
+def _stream_queue(t):
+    """All vectors arrive, a third of them eight days before the rest; each tenth has none and nobody sends it again; deleted assets go later."""
+    from .indexing import incoming
+
+    spark, day = t.spark, F.expr("INTERVAL 1 DAY")
+    start = F.lit("2024-01-01").cast("timestamp")
+    k = F.col("vec_id")
+    vector = F.when(k % 10 > 0, F.col("embedding").cast("array<double>"))
+    added = t.embeddings.select(k.alias("image_id"), F.lit("add").alias("kind"), vector.alias("vector"), F.slice(F.col("embedding").cast("array<double>"), 1, 5).alias("logits"), F.when(k % 3 == 0, start).otherwise(start + 8 * day).alias("at"))
+    none = F.lit(None).cast("array<double>")
+    gone = t.assets.where("is_deleted").join(t.embeddings.select(k.alias("id")), "id", "left_semi").select(F.col("id").alias("image_id"), F.lit("remove").alias("kind"), none.alias("vector"), none.alias("logits"), (start + 9 * day).alias("at"))
+    # an image beyond the others moves the clock: what waits is due in the batches after it
+    clock = [t.embeddings.agg(F.lit(-1).cast("long").alias("image_id")).select("image_id", F.lit("remove").alias("kind"), none.alias("vector"), none.alias("logits"), (start + F.expr(f"INTERVAL {12 * 24 + h} HOUR")).alias("at")) for h in range(5)]
+    path = fresh_path(spark, "events")
+    for rows in (added, gone, *clock):
+        rows.coalesce(1).write.mode("append").parquet(path)
+    stream = incoming(spark, path, spark.createDataFrame([], EVENTS).schema)
+    log = run_queue(stream, fresh_path(spark, "queue"))
+    return current(log).select("image_id", "state", "tries", F.col("checksum").isNotNull().alias("known"))

@@ -129,3 +129,11 @@ def test_index_of_few_and_equal_rows(spark):
 def test_kmeans_keeps_empty_centres():
     x = np.array([[0.0], [0.0], [10.0]])
     assert sorted(vectorindex.kmeans(x, 3).ravel().tolist()) == [0.0, 0.0, 10.0]
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.0, 0.1]), (5, []), (6, [1.0])], "vec_id long, embedding array<double>")
+    v = similarity.unit(rows)
+    assert {(r.query_id, r.id) for r in similarity.knn_exact(v, v, 5).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    got = {r.id: r.identity_id for r in groups.new_identities(v.where("size(v) > 0"), 0, 0.2).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 2, 6: 3}
