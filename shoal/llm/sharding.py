@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -59,23 +59,36 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     above the limit), which no bit can split. Null and empty texts count 0 bytes; rows with a null id
     share one hash. An empty table gives an empty table; further columns play no part.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    h = F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
-    rows, _ = written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), h.alias("h")), "sizes")
+    rows, _ = written(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), id_hash().alias("h")), "sizes")
     found, _ = written(directory(rows, limit), "shards")
+    return _located(rows, found).select("doc_id", F.col("size").alias("n_bytes"), "depth", "shard", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+
+
+def id_hash() -> Column:
+    """The bits that name a row's bucket; a null id has those of an empty one."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
+def _located(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows``, which have a hash ``h``, with the shard of the directory ``found`` that has its prefix."""
     depths = [r.depth for r in found.select("depth").distinct().collect()]  # at most one a bit
-    if not depths:
-        depths = [0]
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in depths]))
-    looked = rows.withColumn("b", at).select("doc_id", "size", "b.depth", "b.prefix")
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", BITS - d).alias("prefix")) for d in depths or [0]]))
+    looked = rows.withColumn("b", at).select(*rows.columns, "b.depth", "b.prefix")
     name = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
-    return looked.join(found, ["depth", "prefix"]).select("doc_id", F.col("size").alias("n_bytes"), "depth", name.alias("shard"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    return looked.join(found, ["depth", "prefix"]).withColumn("shard", name)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write ``docs`` (distinct, non-null doc_id) as Parquet, one folder a shard."""
-    of = shards(docs, limit).select("doc_id", "shard")
-    docs.join(of, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as Parquet under ``path``, one folder a shard: every row once, rows with null or repeated ids too.
+
+    A row's hash is computed in the row, and the shards of the distinct hashes are looked up, so no row is
+    lost or multiplied. A column named shard is replaced by the folder's; an empty table writes no folder.
+    """
+    sizes, _ = written(docs.select(id_hash().alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")), "sizes")
+    of = _located(sizes.select("h").distinct(), directory(sizes, limit)).select("h", "shard")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("row"), id_hash().alias("h"))
+    rows.join(of, "h").select("row.*", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

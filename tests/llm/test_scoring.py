@@ -327,3 +327,14 @@ def test_shards_fit_and_split_only_what_must(spark, docs, clashing, empty):
                 assert sum(size[s] for s in below) > limit and len(hashes) > 1
     assert sharding.shards(empty).count() == 0
     assert Counter(r.shard for r in sharding.shards(docs, 1 << 30).collect()).keys() == {""}
+
+
+def test_written_shards_have_every_row_once(spark, docs, rows, tmp_path):
+    few = spark.createDataFrame([(1, "x", "s"), (1, "y", None), (None, "z", "t"), (None, None, "t")], "doc_id long, text string, shard string")
+    sharding.write_shards(few, f"file://{tmp_path}/few")
+    got = spark.read.parquet(f"file://{tmp_path}/few")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, "x"), (1, "y"), (None, "z"), (None, None)], key=repr)
+    sharding.write_shards(docs, f"file://{tmp_path}/all", 2000)
+    back = spark.read.parquet(f"file://{tmp_path}/all").withColumn("shard", F.col("shard").cast("string"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    assert back.select("shard").distinct().count() > 5
