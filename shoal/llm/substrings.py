@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups, buckets = max(LEAST, size // (6 * GROUP)), _prime(max(LEAST, size // BUCKET))
     asked = docs.mapInArrow(lambda it: _ask(it, window, groups, buckets), "p int, b int, docs binary, runs binary, hashes binary")
     answers = asked.groupBy("p").applyInArrow(lambda t: _answer(t, buckets), "b int, docs binary, runs binary, hashes binary")
-    dealt = docs.withColumn("b", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+    dealt = docs.withColumn("b", F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(buckets)).cast("int"))  # a text without an id is asked for nothing
     return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda x, y: _remove(x, y, window), "doc_id long, n_words long, n_removed long, text string")
 
 

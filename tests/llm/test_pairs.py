@@ -182,3 +182,15 @@ def test_digests_are_of_the_kept_text(spark):
     got = QUERIES["op5_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in substrings.remove_repeats(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
     assert {r.doc_id: r.kept_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_texts_without_ids_go_to_many_tasks(spark):
+    rows = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id, ' and more') AS text")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        parts = substrings.remove_repeats(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r["count"] for r in parts) == 400 and len(parts) == 4 and max(r["count"] for r in parts) < 250
