@@ -167,7 +167,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end: int, path: str, longest: int
     used = np.flatnonzero(length)
     spark.createDataFrame([(int(i), int(length[i])) for i in used], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (8 * block)))
-    ordered = tokens.select("doc_id", "ids", "mark").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
+    ordered = tokens.select("doc_id", "ids", "mark").repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "ids")
     sent = spark.sparkContext.broadcast((codes, length))
     ordered.mapInArrow(lambda it: _blocks(it, *sent.value, width, block), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     drop(spark, made)

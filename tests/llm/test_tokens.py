@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shoal.llm import huffman, packing, tokens
@@ -148,3 +149,13 @@ def test_group_packing_leaves_only_powers_of_two():
             cover[rid] += m
         assert [cover[k] for k in range(n)] == length
         assert all(t == 2048 or t & (t - 1) == 0 for t in total.values())
+
+
+def test_rows_of_one_id_are_several_files(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for value in ("CAST(NULL AS LONG)", "7L"):
+        rows = spark.range(400).selectExpr(f"{value} AS doc_id", "concat('text ', id) AS text")
+        huffman.write_ids(rows, path, 0, to := fresh_path(spark, "test"))
+        sizes = [r.n for r in spark.read.parquet(f"{to}/blocks").groupBy("part").agg(F.sum(F.size("sizes")).alias("n")).collect()]
+        assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 200
+        assert huffman.read_ids(spark, to).count() == 400
