@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .text import FOLD, chunks, hashes, mix
 
 #: Positions of 8 words that count, for each mask.
@@ -126,7 +127,7 @@ def _windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, mark, item_id, word_from, word_to, matched)``: verified windows around each hit; mark is xxhash64 of the document's text."""
     spark = docs.sparkSession
     keyed = lambda df, c: df.select(F.col(c).cast("long").alias("id"), "text", F.xxhash64("text").alias("mark"))
-    items = keyed(benchmark, "item_id").mapInArrow(lambda it: _seeds(it, 1, None), _SEED)
+    items, _ = written(keyed(benchmark, "item_id").mapInArrow(lambda it: _seeds(it, 1, None), _SEED), "seeds")  # so that joins know its size
     bitmap = np.zeros(BITS // 8, np.uint8)
     for k, x in items.select("hash").mapInArrow(_mark, "piece int, bits binary").repartition("piece").mapInArrow(_either, "piece int, bits binary").collect():  # BITS / 8 bytes at most
         bitmap[k * PIECE : (k + 1) * PIECE] = np.frombuffer(zlib.decompress(x), np.uint8)
