@@ -187,6 +187,12 @@ def sampled(labels: DataFrame, column: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """``(doc_id, text, y)`` of the sampled labels: of rows that share a doc_id the text of the least hash, so there are as many as labels at most."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled(labels, column, most)), "doc_id")
+    return known.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
+
+
 @dataclass
 class Model:
     vectors: np.ndarray
@@ -203,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
             x = pooled(c, sent.value).astype(np.float32)
             yield pa.record_batch([c.column("doc_id"), c.column("y"), pa.array([r.tobytes() for r in x])], ["doc_id", "y", "x"])
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sampled(labels, column, sample)), "doc_id")
+    known = labelled(docs, labels, column, sample)
     rows = sorted(map(tuple, known.select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, x binary").collect()))  # SAMPLE rows of 128 bytes
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, DIMS).astype(np.float64)
     return Model(vectors, fit(x, np.array([r[1] for r in rows], np.float64)))

@@ -338,3 +338,12 @@ def test_written_shards_have_every_row_once(spark, docs, rows, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/all").withColumn("shard", F.col("shard").cast("string"))
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(rows, key=repr)
     assert back.select("shard").distinct().count() > 5
+
+
+def test_learning_takes_one_text_an_id(spark):
+    """Three labels and very many rows that share their ids: as many rows are learned from as there are labels."""
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "doc_id long, quality int")
+    known = quality.labelled(docs, labels, "quality", 20)
+    assert known.count() == 3 and quality.labelled(docs.repartition(7), labels, "quality", 20).exceptAll(known).count() == 0
+    assert 0 <= quality.score(docs.limit(5), quality.train(docs, labels, sample=20)).agg(F.min("score")).first()[0] <= 1
