@@ -164,4 +164,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that overlap, as ``overlaps`` has them.
+
+    Null and empty texts overlap nothing; very long texts are searched whole. Rows that share a doc_id or item_id,
+    null ones too, are one document or item. Of equally long matches the span covers all. Empty tables give an
+    empty table; further columns play no part.
+    """
     return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

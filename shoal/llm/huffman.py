@@ -204,6 +204,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_ids(spark, sf_dir: str, tokenizer: str | None = None, end: int = 0) -> DataFrame:
+    """All documents' ids written to Huffman files and read back from them.
+
+    Null and empty texts have the end id alone; a very long text is one block. Rows that share a doc_id, null or
+    not, follow each other by their text's hash, so equal texts tie and are alike; null ids come first.
+    Repeated rows are written each. An empty table gives an empty table; further columns play no part.
+    """
     if tokenizer is None:
         import public_tokenizers
 

@@ -155,6 +155,13 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_d
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's kept lines, as digests.
+
+    Null and empty texts are one empty line; very long texts are split whole, in one task's row. Rows that share a
+    doc_id are one document for a line's count and each keep or lose their lines; a row without a doc_id is a
+    document of its own. Of equal lines the largest doc_id keeps its own, so there are no other ties. An empty
+    table gives an empty table; further columns play no part.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 

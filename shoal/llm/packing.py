@@ -221,6 +221,12 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = SEQUENCE) -> Dat
 
 
 def op10_packing(spark, sf_dir: str, tokenizer: str | None = None, end: int = 1) -> DataFrame:
+    """All documents' ids in sequences, one row a piece.
+
+    Null and empty texts are their end id; a very long text is cut into whole sequences and a rest. Rows that repeat
+    or share a doc_id, null or not, are packed each. Pieces of equal length are packed in the order of their tasks
+    and rows. An empty table gives an empty table; further columns play no part.
+    """
     if tokenizer is None:
         import public_tokenizers
 

@@ -236,6 +236,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """A score for every row of the documents, learned from labels outside the held-out fold.
+
+    Null and empty texts get the network's answer to no words; very long texts are pooled whole. Rows that repeat
+    or share a doc_id are scored by their own texts, so equal texts get equal scores; one text an id is
+    learned from. Rows without a doc_id are scored and not held out. Without labels of both kinds the score is their
+    mean, or 0.5. A score of exactly 0.5 predicts 1. An empty table gives an empty table; further columns play no part.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fold = F.pmod(crc_of_id(F.col("doc_id")), F.lit(3))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 1)

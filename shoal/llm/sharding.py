@@ -92,6 +92,12 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document's shard, as ``shards`` has it.
+
+    Null and empty texts count no bytes; a very long text above the limit is a shard that no bit can split, as are
+    rows that share a doc_id, null or not. Equal ids have equal hashes, so there are no ties. Repeated rows get a
+    row each. An empty table gives an empty table; further columns play no part.
+    """
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

@@ -183,5 +183,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's kept words, as digests.
+
+    Null and empty texts have no words; a very long text is a chunk of its own, with all its windows. Of equal
+    windows those of the smallest doc_id stay; rows that share a doc_id don't remove each other's, and rows without
+    one stay whole and remove nothing. Repeated rows get equal results. An empty table gives an empty table;
+    further columns play no part.
+    """
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

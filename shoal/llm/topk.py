@@ -127,6 +127,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
 
 
 def op1_top_k(spark, sf_dir: str) -> DataFrame:
+    """Queries: rows whose vec_id is divisible by 100; candidates: every other row.
+
+    Vectors that are null, or hold a null or non-finite component, and rows without a vec_id take no part; empty
+    vectors score 0 with each other. Ties go to the smaller vec_id. Rows that share a vec_id are candidates
+    each, as a query they count once, and they are no candidates of that query. An empty table gives none.
+    """
     rows = quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(rows.where("id % 100 = 0"), rows)
 

@@ -264,6 +264,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A score for every row of the documents, learned from labels outside the held-out fold.
+
+    Null and empty texts have no passage and get the score of none; very long texts are scanned whole, in time
+    linear in their length. Rows that repeat or share a doc_id are scored by their own texts. Rows without a
+    doc_id are scored and not held out. Without usable labels the score is their mean, or 0.5. A score of
+    exactly 0.5 predicts 1. An empty table gives an empty table; further columns play no part.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fold = F.pmod(crc_of_id(F.col("doc_id")), F.lit(5))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0)
