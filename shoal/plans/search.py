@@ -14,8 +14,11 @@ from ..operators.details import PARSED, parsed_rows
 from ..operators.filters import filename_contains, live, media_kind, parsed_terms, with_tags
 from ..operators.similarity import PHASH, hash_neighbours, perceptual, unit
 from ..operators.stats import VECTORS, vectors
+from ..operators.vectorindex import VectorIndex
+from ..shared import fresh_path
 from ..sources.views import query
-from .fulltext import text_matches
+from .fulltext import TextIndex, text_matches
+from .names import NameIndex
 
 #: Rank of the kinds of evidence.
 EXACT, PERCEPTUAL, SEMANTIC = 0, 1, 2
@@ -33,6 +36,10 @@ class Library:
     parsed: DataFrame
     detections: DataFrame
     lines: DataFrame
+    # stored indexes of lines, vectors and paths; what has none is scanned
+    text_index: TextIndex | None = None
+    vector_index: VectorIndex | None = None
+    name_index: NameIndex | None = None
 
 
 @dataclass
@@ -73,7 +80,8 @@ def search(lib: Library, ask: Search) -> DataFrame:
     The order of set operations is part of the result: identity and text-presence intersect; an image
     query, then a text query, then a text match each replace what came before; exact, perceptual, parsed
     and filename hits are added; tags intersect, unless nothing but tags (and filters that are then
-    dropped) was asked for. Missing assets go before the limit.
+    dropped) was asked for. Missing assets go before the limit. Text, vectors and file names are looked up in
+    the library's stored indexes where it has them; the vector index finds about the nearest.
     """
     base: DataFrame | None = None
     if ask.identity is not None:
@@ -82,17 +90,22 @@ def search(lib: Library, ask: Search) -> DataFrame:
         held = lib.lines.select("image_id").distinct()
         base = held if base is None else base.join(held, "image_id", "left_semi")
     base = None if base is None else _leg(base, SEMANTIC)
-    near = lambda q: _leg(nearest(q, lib.vectors, max(ask.limit, 100)), SEMANTIC)
+
+    def near(q: DataFrame) -> DataFrame:
+        k = max(ask.limit, 100)
+        return _leg(nearest(q, lib.vectors, k) if lib.vector_index is None else lib.vector_index.search(q.limit(1), k).select("id", "score"), SEMANTIC)
+
     if ask.image_vector is not None:
         base = near(ask.image_vector)
     if ask.text_vector is not None:
         base = near(ask.text_vector)
     if ask.text:
-        base = _leg(text_matches(lib.lines, ask.text), SEMANTIC, 1.0)
+        base = _leg(text_matches(lib.lines, ask.text) if lib.text_index is None else lib.text_index.search(ask.text), SEMANTIC, 1.0)
     exact = None if ask.content_key is None else _leg(lib.assets.where(F.col("content_key") == ask.content_key).select("id"), EXACT, 1.0)
     alike = None if ask.image_hash is None else _leg(hash_neighbours(lib.hashes, ask.image_hash), PERCEPTUAL)
     parsed = _leg(parsed_terms(lib.parsed, ask.parsed or "", ask.match_type).select("image_id"), SEMANTIC) if ask.parsed or ask.match_type else None
-    named = None if not ask.filename else _leg(filename_contains(lib.assets, ask.filename).select("id"), SEMANTIC)
+    paths = lambda text: (filename_contains(lib.assets, text) if lib.name_index is None else lib.name_index.contains(text)).select("id")
+    named = None if not ask.filename else _leg(paths(ask.filename), SEMANTIC)
     legs = [x for x in (base, exact, alike, parsed, named) if x is not None]
     if ask.tags:
         tagged = with_tags(lib.asset_tags, lib.tags, ask.tags, ask.source_id).select(F.col("image_id").alias("id"))
@@ -140,6 +153,18 @@ def _search(t):
     return search(lib, ask).select("id", "tier", F.floor(F.col("score") * 1000000 + 0.5).alias("score"))
 
 
+@query("search_indexed", r"""
+WITH w AS (SELECT image_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM text_lines),
+legs AS (SELECT image_id AS id, 1.0 AS score FROM w WHERE list_contains(w, 'the') AND NOT list_contains(w, 'could') UNION ALL SELECT id, 0.0 FROM assets WHERE path ILIKE '%illust_1000%')
+SELECT id, 2 AS tier, CAST(max(score) AS DOUBLE) AS score FROM legs JOIN assets USING (id) WHERE NOT is_deleted AND NOT is_missing AND NOT (lower(path) LIKE '%.mp4' OR lower(path) LIKE '%.webm') GROUP BY id ORDER BY score DESC, id LIMIT 200""", "assets text_lines")
+def _search_indexed(t):
+    """Text and file name from stored indexes: the search reads their hits, not the lines and paths."""
+    lib = library(t)
+    lib.text_index = TextIndex.create(t.text_lines, fresh_path(t.spark, "text-index"))
+    lib.name_index = NameIndex.create(t.assets.select("id", F.col("path").alias("text")), fresh_path(t.spark, "name-index"))
+    return search(lib, Search(text="the NOT could", filename="illust_1000", media="image", limit=200))
+
+
 @query("search_latest", "WITH n AS (SELECT * FROM assets WHERE NOT is_deleted ORDER BY created_at DESC, id DESC LIMIT 500) SELECT id, 2 AS tier, 0.0::DOUBLE AS score FROM n WHERE NOT is_missing", "assets")
 def _search_latest(t):
     return search(library(t), Search(limit=500))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import boxes, changes, details, filters, groups, ranking, similarity, stats, vectorindex, windows  # noqa: F401  each module registers its queries
+from .operators import boxes, changes, details, filters, groups, ranking, similarity, stats, timeline, vectorindex, windows  # noqa: F401  each module registers its queries
 from .functions import names, vectors  # noqa: F401
 from .plans import fulltext, search  # noqa: F401
 from .plans import names as name_index  # noqa: F401
