@@ -9,42 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalized
 from ..sources.views import query
+from .hamming import hamming, hash_pairs
 from .metric import cosine_radius, in_balls
 
 #: Rows and queries of one block of a vector search.
 ROWS, QUERIES = 8192, 1024
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def hash_neighbours(hashes: DataFrame, wanted: int, distance: int = 10) -> DataFrame:
     """``(id, score)`` of rows whose 64-bit hash differs from ``wanted`` in at most ``distance`` bits: one scan."""
     d = hamming(F.col("hash"), F.lit(wanted))
     return hashes.where(d <= distance).select("id", (1 - d / 64).alias("score"))
 
 
-def hash_pairs(hashes: DataFrame, distance: int = 10) -> DataFrame:
-    """``(a, b, distance)`` of distinct hashes a < b that differ in at most ``distance`` (up to 11) bits.
-
-    Of four 16-bit bands one differs in at most two bits, so one side is probed with every mask of up to two
-    bits on each band and meets the other by equality; rows of equal hash are one entry.
-    """
-    if not 0 <= distance <= 11:
-        raise ValueError("four bands with two probed bits cover up to 11 differing bits")
-    masks = [0] + [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)]
-    one = hashes.select("hash").distinct()
-    band = lambda k: F.shiftrightunsigned("hash", 16 * k).bitwiseAND(F.lit(0xFFFF))
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(k).alias("part")) for k in range(4)]))
-    index = one.select(F.col("hash").alias("b"), bands.alias("e")).select("b", "e.band", "e.part")
-    probes = one.select(F.col("hash").alias("a"), bands.alias("e")).select("a", "e.band", F.explode(F.array(*map(F.lit, masks))).alias("mask"), "e.part")
-    probes = probes.select("a", "band", F.col("part").bitwiseXOR(F.col("mask").cast("long")).alias("part"))
-    d = hamming(F.col("a"), F.col("b"))
-    near = probes.join(index, ["band", "part"]).where((F.col("a") < F.col("b")) & (d <= distance))
-    return near.select("a", "b", d.alias("distance")).distinct()
-
-
 def in_blocks(queries: DataFrame, rows: DataFrame, found, schema: str) -> DataFrame:
     """Apply ``found(queries, rows)`` to every pair of a block of ``queries(id, v)`` and a block of ``rows(id, v)``.
 

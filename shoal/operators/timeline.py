@@ -1,6 +1,6 @@
 """Pages and places of a gallery from a tree of counts, kept with the rows.
 
-Rows lie in folders of days, sorted by time; beside them a table has how many there are in each year, day and
+Rows lie in folders of months, sorted by time in small pages; beside them a table has how many there are in each year, day and
 hour. A page far back, or the place of one asset, goes down the tree (the years, then one year's days, then
 one day's hours) and reads the hours it lies in. Appends and removals add a generation of rows and of
 counts, so the tree is kept up without being built again.
@@ -23,13 +23,17 @@ PAGE = 1 << 12
 LEVELS = ("year", "day", "hour")
 #: Rows without a time come last: they have this one, before any that a file may have.
 NEVER = dt.datetime(1600, 1, 1)
-ROWS, COUNTS = "id long, at long, day date", "day date, hour int, n long, year int"
+ROWS, COUNTS = "id long, at long, month int", "day date, hour int, n long, year int"
 
 
 def _bucket(at: Column) -> list[Column]:
     return [F.year(at).alias("year"), F.to_date(at).alias("day"), F.hour(at).alias("hour")]
 
 
+def _month(at: Column) -> Column:
+    return F.year(at) * 100 + F.month(at)
+
+
 def _micros(time: dt.datetime) -> Column:
     """A wall-clock time of the session's zone as stored: microseconds, whose pages Parquet's readers can tell apart."""
     return F.unix_micros(F.to_timestamp(F.lit(time.isoformat(sep=" "))))
@@ -56,11 +60,11 @@ class Timeline(Generations):
     def append(self, rows: DataFrame) -> None:
         """Further rows, as a generation of their own with its counts."""
         _, _, seq = self._state()
-        placed = self._timed(rows).withColumn("day", F.to_date(F.timestamp_micros("at")))
-        order = ["day", "at", "id"]  # a day of very many rows is cut by time and id
+        placed = self._timed(rows).withColumn("month", _month(F.timestamp_micros("at")))
+        order = ["month", "at", "id"]  # a month of very many rows is cut by time and id
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         sorted_rows = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        sorted_rows.write.option("parquet.page.row.count.limit", PAGE).partitionBy("day").mode("overwrite").parquet(f"{self.path}/rows/seq={seq}")
+        sorted_rows.write.option("parquet.page.row.count.limit", PAGE).partitionBy("month").mode("overwrite").parquet(f"{self.path}/rows/seq={seq}")
         self._count(self._read("rows", [seq], ROWS), seq, 1)
         self._log(seq, "rows")
 
@@ -69,20 +73,22 @@ class Timeline(Generations):
         counts.coalesce(1).sortWithinPartitions("day", "hour").write.partitionBy("year").mode("overwrite").parquet(f"{self.path}/counts/seq={seq}")
 
     def remove(self, keys: DataFrame) -> None:
-        """Take out ``(id, created_at)``; only the days of these times are read, and what isn't there is left out."""
+        """Take out ``(id, created_at)``; only the months of these times are read, and what isn't there is left out."""
         _, _, seq = self._state()
         wanted, _ = written(self._timed(keys).distinct(), "wanted")
-        days = [r.day for r in wanted.select(F.to_date(F.timestamp_micros("at")).alias("day")).distinct().collect()]  # a row a day
-        there = self._rows(days).join(wanted, ["id", "at"], "left_semi") if days else self._rows().limit(0)
+        months = [r.month for r in wanted.select(_month(F.timestamp_micros("at")).alias("month")).distinct().collect()]  # a row a month
+        there = self._rows(months).join(wanted, ["id", "at"], "left_semi")
         there, _ = written(there, "there")
         there.select(F.col("id").alias("key")).distinct().write.mode("overwrite").parquet(f"{self.path}/gone/seq={seq}")
         self._count(there, seq, -1)
         self._log(seq, "gone")
 
-    def _rows(self, days: list[dt.date] | None = None) -> DataFrame:
-        """Rows that are there, of some days."""
-        table = self._read("rows", self._state()[0]["rows"], ROWS)
-        return self._live(table if days is None else table.where(F.col("day").isin(days)), "id").select("id", "at")
+    def _rows(self, months: list[int], begin: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+        """Rows that are there, of some months and from ``begin`` to before ``end``."""
+        table = self._read("rows", self._state()[0]["rows"], ROWS).where(F.col("month").isin(months))
+        if begin is not None:
+            table = table.where((F.col("at") >= _micros(begin)) & (F.col("at") < _micros(end)))
+        return self._live(table, "id").select("id", "at")
 
     def _counts(self) -> DataFrame:
         kinds = self._state()[0]
@@ -96,6 +102,9 @@ class Timeline(Generations):
         found = rows.groupBy(level).agg(F.sum("n").alias("n")).where("n > 0").collect()  # years, days of a year, hours of a day
         return sorted(((r[0], r.n) for r in found), reverse=True)
 
+    def _months(self) -> list[int]:
+        return [r[0] for r in self._counts().select(_month(F.col("day"))).distinct().collect()]  # a row a month
+
     def total(self) -> int:
         return self._counts().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -119,10 +128,9 @@ class Timeline(Generations):
             return self.spark.createDataFrame([], "id long, created_at timestamp")
         last = self._at(offset + limit - 1)
         lo = last[0] if last else NEVER
-        rows = self._read("rows", self._state()[0]["rows"], ROWS)
-        rows = rows.where(F.col("day").between(F.lit(lo.date()), F.lit(first[0].date())))
-        rows = rows.where((F.col("at") >= _micros(lo)) & (F.col("at") < _micros(first[0] + dt.timedelta(hours=1))))
-        rows = self._live(rows, "id").orderBy(F.desc("at"), F.desc("id")).offset(offset - first[1]).limit(limit)
+        end = first[0] + dt.timedelta(hours=1)
+        months = [m for m in self._months() if lo.year * 100 + lo.month <= m <= first[0].year * 100 + first[0].month]
+        rows = self._rows(months, lo, end).orderBy(F.desc("at"), F.desc("id")).offset(offset - first[1]).limit(limit)
         return rows.select("id", F.when(F.col("at") != _micros(NEVER), F.timestamp_micros("at")).alias("created_at"))
 
     def position(self, id_: int, created_at: dt.datetime | None) -> int | None:
@@ -133,7 +141,7 @@ class Timeline(Generations):
         for level, value, within in (("year", year, {}), ("day", day, {"year": year}), ("hour", hour, {"year": year, "day": day})):
             before += sum(n for v, n in self._level(level, **within) if v > value)
         begin = dt.datetime.combine(day, dt.time(hour))
-        rows = self._rows([day]).where((F.col("at") >= _micros(begin)) & (F.col("at") < _micros(begin + dt.timedelta(hours=1))))
+        rows = self._rows([day.year * 100 + day.month], begin, begin + dt.timedelta(hours=1))
         earlier = (F.col("at") > at) | (F.col("at") == at) & (F.col("id") > id_)
         n, there = rows.agg(F.count_if(earlier), F.coalesce(F.bool_or((F.col("at") == at) & (F.col("id") == id_)), F.lit(False))).first()
         return before + n if there else None
