@@ -14,6 +14,8 @@ from .metric import cosine_radius, in_balls
 
 #: Rows and queries of one block of a vector search.
 ROWS, QUERIES = 8192, 1024
+#: Scores that a task holds at once.
+SCORES = 1 << 19
 
 
 def hash_neighbours(hashes: DataFrame, wanted: int, distance: int = 10) -> DataFrame:
@@ -46,14 +48,30 @@ def _best(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
 
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` highest scores, highest first, ties to the earlier place."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    out = np.empty((len(scores), k), np.int64)
+    for own, (s, low) in enumerate(zip(scores, least)):
+        at = np.flatnonzero(s >= low)
+        out[own] = at[np.argsort(-s[at], kind="stable")[:k]]
+    return out
+
+
 def _best_of_one_length(q: pd.DataFrame, r: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
     if len(q) and len(r):
-        ids, scores = r["id"].to_numpy(), np.stack(q["v"]) @ np.stack(r["v"]).T
-        top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-        for own, s, at in zip(q["id"].to_numpy(), scores, top):
-            at = at[ids[at] != own][:k]
-            out.append(pd.DataFrame({"query_id": own, "id": ids[at], "score": s[at]}))
+        ids, asked, rows = r["id"].to_numpy(), np.stack(q["v"]), np.stack(r["v"]).T
+        together = max(1, SCORES // len(ids))
+        for start in range(0, len(q), together):
+            scores, own = asked[start : start + together] @ rows, q["id"].to_numpy()[start : start + together]
+            top = _top(scores, k + 1)
+            query, found, score = np.repeat(own, top.shape[1]), ids[top].ravel(), np.take_along_axis(scores, top, axis=1).ravel()
+            other = (found != query).reshape(top.shape)
+            other &= np.cumsum(other, axis=1) <= k
+            other = other.ravel()
+            out.append(pd.DataFrame({"query_id": query[other], "id": found[other], "score": score[other]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
 
@@ -108,10 +126,19 @@ def knn_lists(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int | Non
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        scores = np.stack(v.to_numpy()) @ sent.value.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable").astype(np.int32)[:, :probes]))
-
-    held = rows.withColumn("list", F.element_at(nearest("v"), 1))
+        lists, step = [], max(1, SCORES // len(sent.value))
+        for start in range(0, len(v), step):
+            scores = np.stack(v.iloc[start : start + step].to_numpy()) @ sent.value.T
+            lists.extend(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32).copy())
+        return pd.Series(lists)
+
+    @F.pandas_udf("int")
+    def nearest_one(v: pd.Series) -> pd.Series:
+        step = max(1, SCORES // len(sent.value))
+        parts = [np.argmax(np.stack(v.iloc[start : start + step].to_numpy()) @ sent.value.T, axis=1) for start in range(0, len(v), step)]
+        return pd.Series(np.concatenate(parts).astype(np.int32))
+
+    held = rows.withColumn("list", nearest_one("v"))
     parts = held.groupBy("list").agg(F.ceil(F.count("*") / ROWS).alias("parts"))  # a row a list
     held = held.join(F.broadcast(parts), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"))
     asked = queries.withColumn("list", F.explode(nearest("v"))).join(F.broadcast(parts), "list")
