@@ -8,12 +8,12 @@ What comes out is a log of transitions; its last row of an image is the image's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -53,52 +53,56 @@ class ImageQueue(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", _STATE)
 
-    def _to(self, out: list, key: tuple, state: str, tries: int, at: int, due: int, row: Any = None) -> None:
-        """Go to a state that lasts until ``due`` (-1: until the next event), and log it."""
-        old = self.held.get() if self.held.exists() else None
+    def _to(self, out: list, key: tuple, old: tuple | None, state: str, tries: int, at: int, due: int, row: Any = None) -> tuple:
+        """Go from ``old`` to a state that lasts until ``due`` (-1: until the next event), and log it."""
         step = old[2] + 1 if old else 0
-        if old and old[3] >= 0:
-            self.handle.deleteTimer(old[3])
-        self.held.update((state, tries, step, due))
-        if due >= 0:
-            self.handle.registerTimer(due)
-        known = (row.checksum, row.label, row.score) if row is not None else (None, None, None)
-        out.append((key[0], state, *known, tries, at, step))
-
-    def _fail(self, out: list, key: tuple, tries: int, at: int) -> None:
-        again = tries < self.tries
-        self._to(out, key, "waiting" if again else "failed", tries, at, at + (self.retry << (tries - 1)) if again else -1)
-
-    @staticmethod
-    def _frame(out: list) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=LOG.names)
-        return frame.astype({"label": "Int32", "tries": "int32"}).astype({"score": "float64"})
+        known = (row.checksum, row.label, None if row.score is None or math.isnan(row.score) else row.score) if row is not None else (None, None, None)
+        out.append(Row(*LOG.names)(key[0], state, *known, tries, at, step))
+        return state, tries, step, due
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def _fail(self, out: list, key: tuple, old: tuple | None, tries: int, at: int) -> tuple:
+        again = tries < self.tries
+        return self._to(out, key, old, "waiting" if again else "failed", tries, at, at + (self.retry << (tries - 1)) if again else -1)
+
+    def _hold(self, before: tuple | None, now: tuple | None) -> None:
+        """Keep a state and its timer: each call goes to the state server, so a batch's events of an image make one."""
+        if now is None or now == before:
+            return
+        due = before[3] if before else -1
+        if due >= 0 and due != now[3]:
+            self.handle.deleteTimer(due)
+        self.held.update(now)
+        if now[3] >= 0 and now[3] != due:
+            self.handle.registerTimer(now[3])
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         out: list = []
-        every = pd.concat(list(rows)).sort_values(["at", "kind", "checksum"], kind="stable")  # one image's events of a batch
-        for row in every.itertuples():
-            at = int(row.at)
+        before = now = self.held.get()
+        every = sorted(rows, key=lambda r: (r.at, r.kind is None, r.kind or "", r.checksum is None, r.checksum or ""))  # one image's events of a batch
+        for row in every:
+            at = row.at
             if row.kind == "remove":
-                self._to(out, key, "removed", 0, at, -1)
-            elif isinstance(row.checksum, str):
-                self._to(out, key, "ready", 0, at, at + self.life, row)
+                now = self._to(out, key, now, "removed", 0, at, -1)
+            elif row.checksum is not None:
+                now = self._to(out, key, now, "ready", 0, at, at + self.life, row)
             else:
-                old = self.held.get() if self.held.exists() else None
-                self._fail(out, key, old[1] + 1 if old and old[0] in ("waiting", "pending") else 1, at)
-        yield self._frame(out)
+                now = self._fail(out, key, now, now[1] + 1 if now and now[0] in ("waiting", "pending") else 1, at)
+        self._hold(before, now)
+        return iter(out)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         out: list = []
-        state, tries, _, due = self.held.get() if self.held.exists() else ("", 0, 0, -1)
-        if due == expiredTimerInfo.getExpiryTimeInMs():
+        before = now = self.held.get()
+        if before and before[3] == expiredTimerInfo.getExpiryTimeInMs():
+            state, tries, _, due = before
             if state == "ready":
-                self._to(out, key, "stale", 0, due, -1)
+                now = self._to(out, key, before, "stale", 0, due, -1)
             elif state == "waiting":
-                self._to(out, key, "pending", tries, due, due + self.retry)
+                now = self._to(out, key, before, "pending", tries, due, due + self.retry)
             elif state == "pending":  # nobody sent it again
-                self._fail(out, key, tries + 1, due)
-        yield self._frame(out)
+                now = self._fail(out, key, before, tries + 1, due)
+        self._hold(before, now)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -120,7 +124,7 @@ def transitions(events: DataFrame, embed: Embed | None = None, delay: str = "0 s
     best = F.when(ok, F.array_max(classes))
     label = F.when(best.isNotNull(), F.array_position(classes, best) - 1).cast("int")
     seen = rows.select("image_id", "kind", F.when(ok, vector_checksum(F.col("vector"))).alias("checksum"), label.alias("label"), best.alias("score"), F.unix_millis("at").alias("at"), F.col("at").alias("time"))
-    return seen.groupBy("image_id").transformWithStateInPandas(ImageQueue(tries, retry, life), LOG, "Append", "EventTime")
+    return seen.groupBy("image_id").transformWithState(ImageQueue(tries, retry, life), LOG, "Append", "EventTime")
 
 
 def use_state_store(spark: SparkSession) -> None:
