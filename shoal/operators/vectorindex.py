@@ -3,8 +3,8 @@
 A bounded sample gives the upper cells; each cell's own bounded sample gives its lists, in Spark, so the
 number of lists grows with the rows. A row is stored in its nearest list as codes of one byte a part of
 its residual, beside the vector itself; files are sorted by list and cut into small pages, so a search
-reads the pages of its lists only. A query computes one table of products per part; a row's score is its
-list's product plus one look-up a part. The best by codes are scored again by their vectors. Appends and
+reads the pages of its lists only. A row's guessed score is the product with what its codes stand
+for. The best by codes are scored again by their vectors: as many as hold most true neighbours of sampled rows. Appends and
 removals are generations that a log makes visible: the index isn't rebuilt.
 """
 
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from ..sources.generations import Generations
 from ..sources.views import query
 from .metric import QUERIES, ROWS, _vectors, hashed
-from .similarity import knn_exact, unit
+from .similarity import SCORES, _top, knn_exact, unit
 
 #: Rows that cells, and lists of a cell, are learned from; cells and lists at most; rows a list; codes of a part, numbers a part.
 SAMPLE, CELL_SAMPLE, MOST_CELLS, MOST_LISTS, LIST_ROWS, CODES, WIDTH = 20_000, 4096, 256, 1 << 16, 256, 256, 4
-#: Rows of a page; sampled queries that tell how many lists to visit; what part of their neighbours these hold; candidates scored again, for each wanted row.
+#: Lists of a bin, whose rows meet a query together.
+BIN = 64
+#: Rows of a page; sampled queries that tell how many lists to visit; what part of their neighbours these hold; candidates scored again at least, for each wanted row.
 PAGE, TRIED, RECALL, AGAIN = 512, 200, 0.97, 8
 
 
@@ -76,9 +78,10 @@ class Quantizer:
         top = np.argpartition(d, most - 1, axis=1)[:, :most]
         return np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, axis=1), axis=1, kind="stable"), axis=1)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of each query's parts with all codes."""
-        return np.einsum("nmw,mcw->nmc", self._split(q), self.books)
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for: a list's centre and a row's coded residual."""
+        rest = self.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)
+        return self.lists[lists] + rest[:, : self.lists.shape[1]]
 
 
 def _learn_lists(rows: pd.DataFrame, wanted: dict[int, int]) -> pd.DataFrame:
@@ -103,19 +106,27 @@ def _coded(batches: Iterable[pa.RecordBatch], q: Quantizer) -> Iterator[pa.Recor
 
 
 def _scored(q: pd.DataFrame, r: pd.DataFrame, quantizer: Quantizer, k: int) -> pd.DataFrame:
-    """The ``k`` rows of a part of a list that look best to each query by their codes."""
-    if not len(q) or not len(r):
-        return pd.DataFrame({"query_id": [], "id": [], "list": [], "seq": [], "guess": []}).astype({"query_id": "int64", "id": "int64", "list": "int32", "seq": "int32", "guess": "float64"})
-    asked, r = np.stack(q["v"]), r.sort_values("id")
-    codes = np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1)
-    tables, base = quantizer.tables(asked), asked @ quantizer.lists[int(r["list"].iloc[0])]
-    out = []
-    for own, table, b in zip(q["id"].to_numpy(), tables, base):
-        guess = b + table[np.arange(codes.shape[1]), codes].sum(axis=1)
-        top = np.argsort(-guess, kind="stable")[:k]
-        part = r.iloc[top]
-        out.append(pd.DataFrame({"query_id": own, "id": part["id"].to_numpy(), "list": part["list"].to_numpy(), "seq": part["seq"].to_numpy(), "guess": guess[top]}))
-    return pd.concat(out)
+    """The ``k`` rows of a part of a bin, in lists that a query visits, that look best to it by their codes."""
+    out = [pd.DataFrame({"query_id": [], "id": [], "list": [], "seq": [], "guess": []}).astype({"query_id": "int64", "id": "int64", "list": "int32", "seq": "int32", "guess": "float64"})]
+    if len(q) and len(r):
+        r = r.sort_values("id")
+        lists = r["list"].to_numpy()
+        first = lists.min()
+        rows = quantizer.decoded(lists, np.frombuffer(b"".join(r["code"]), np.uint8).reshape(len(r), -1))
+        together = max(1, SCORES // len(r))
+        for start in range(0, len(q), together):
+            some = q.iloc[start : start + together]
+            visited = np.zeros((len(some), lists.max() - first + 1), bool)
+            for own, asked in zip(visited, some["lists"]):
+                asked = np.asarray(asked) - first
+                own[asked[(asked >= 0) & (asked < len(own))]] = True
+            guess = np.where(visited[:, lists - first], np.stack(some["v"]) @ rows.T, -np.inf)
+            top = _top(guess, k)
+            best = np.take_along_axis(guess, top, axis=1).ravel()
+            at, own = top.ravel()[best > -np.inf], np.repeat(some["id"].to_numpy(), top.shape[1])[best > -np.inf]
+            part = r.iloc[at]
+            out.append(pd.DataFrame({"query_id": own, "id": part["id"].to_numpy(), "list": part["list"].to_numpy(), "seq": part["seq"].to_numpy(), "guess": best[best > -np.inf]}))
+    return pd.concat(out[1:] or out)
 
 
 class VectorIndex(Generations):
@@ -128,7 +139,7 @@ class VectorIndex(Generations):
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path)
-        self._known: tuple[Quantizer, int] | None = None
+        self._known: tuple[Quantizer, int, int] | None = None
 
     @classmethod
     def create(cls, rows: DataFrame, path: str, sample: int = SAMPLE, list_rows: int = LIST_ROWS, k: int = 10) -> VectorIndex:
@@ -156,35 +167,47 @@ class VectorIndex(Generations):
         rest = quantizer._split(x - lists[quantizer.place(x)])
         codes = min(CODES, max(1, len(x) // 8))
         quantizer.books = np.stack([kmeans(rest[:, m], codes, m) for m in range(books)])
-        index._keep(quantizer, cls._visits(quantizer, x, max(1, -(-k * len(x) // n))))
+        index._keep(quantizer, *cls._visits(quantizer, x, max(1, -(-k * len(x) // n)), n))
         index.append(rows)
         return index
 
     @staticmethod
-    def _visits(quantizer: Quantizer, x: np.ndarray, k: int) -> int:
-        """How many lists hold ``RECALL`` of the ``k`` neighbours of sampled rows: of k among all rows, the sample has its share."""
+    def _visits(quantizer: Quantizer, x: np.ndarray, k: int, n: int) -> tuple[int, int]:
+        """How many lists, and how many of ``n`` rows that look best by codes, hold ``RECALL`` of the ``k`` neighbours of sampled rows.
+
+        Of k among all rows the sample has its share. A row is no neighbour of its own.
+        """
         rng = np.random.default_rng(0)
         asked = rng.permutation(len(x))[:TRIED]
-        near = np.argsort(-(x[asked] @ x.T), axis=1, kind="stable")[:, : k + 1]
         own = quantizer.place(x)
+        seen = quantizer.decoded(own, quantizer.codes(x, own))
         order = quantizer.order(x[asked], len(quantizer.lists))
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-        return int(np.quantile(np.take_along_axis(place, own[near], axis=1), RECALL, method="higher")) + 1
-
-    def _keep(self, q: Quantizer, visits: int) -> None:
+        visits, better = [0], [0]
+        for row, a in enumerate(asked):
+            score, guess = x @ x[a], seen @ x[a]
+            score[a] = guess[a] = -np.inf
+            near = np.argsort(-score, kind="stable")[:k]
+            near = near[near != a]
+            visits += place[row, own[near]].tolist()
+            better += [int((guess > g).sum()) for g in guess[near]]
+        held = lambda at: int(np.quantile(at, RECALL, method="higher")) + 1
+        return held(visits), -(-held(better) * n // len(x))
+
+    def _keep(self, q: Quantizer, visits: int, again: int) -> None:
         rows = [("cell", k, 0, v.tolist()) for k, v in enumerate(q.cells)] + [("list", k, int(c), v.tolist()) for k, (c, v) in enumerate(zip(q.owner, q.lists))]
-        rows += [("book", m, c, v.tolist()) for m, book in enumerate(q.books) for c, v in enumerate(book)] + [("visits", visits, 0, [])]
+        rows += [("book", m, c, v.tolist()) for m, book in enumerate(q.books) for c, v in enumerate(book)] + [("visits", visits, again, [])]
         self.spark.createDataFrame(rows, "kind string, k int, c int, v array<double>").coalesce(1).write.parquet(f"{self.path}/quantizer")
         self._log(0, "learned")
 
-    def _quantizer(self) -> tuple[Quantizer, int]:
+    def _quantizer(self) -> tuple[Quantizer, int, int]:
         if self._known is None:
             rows = sorted(self.spark.read.parquet(f"{self.path}/quantizer").collect(), key=lambda r: (r.kind, r.k, r.c))  # bounded by MOST_LISTS
             of = lambda kind: [r for r in rows if r.kind == kind]
             books = of("book")
             shaped = np.array([r.v for r in books]).reshape(books[-1].k + 1, -1, WIDTH)
-            self._known = Quantizer(np.array([r.v for r in of("cell")]), np.array([r.c for r in of("list")]), np.array([r.v for r in of("list")]), shaped), of("visits")[0].k
+            self._known = Quantizer(np.array([r.v for r in of("cell")]), np.array([r.c for r in of("list")]), np.array([r.v for r in of("list")]), shaped), of("visits")[0].k, of("visits")[0].c
         return self._known
 
     def append(self, rows: DataFrame) -> None:
@@ -208,7 +231,7 @@ class VectorIndex(Generations):
 
     def search(self, queries: DataFrame, k: int = 10, visits: int | None = None) -> DataFrame:
         """``(query_id, rank, id, score)``: about the k nearest rows by cosine of each of ``queries(id, v)``, its own id left out."""
-        quantizer, usual = self._quantizer()
+        quantizer, usual, again = self._quantizer()
         sent = self.spark.sparkContext.broadcast(quantizer)
         most = visits or usual
 
@@ -217,22 +240,25 @@ class VectorIndex(Generations):
             return pd.Series(list(sent.value.order(np.stack(v.to_numpy()), most).astype(np.int32)))
 
         queries = queries.where("v IS NOT NULL").select("id", F.col("v").cast("array<double>").alias("v"))
-        asked = queries.withColumn("list", F.explode(lists_of("v")))
-        lists = sorted(r.list for r in asked.select("list").distinct().collect())  # at most MOST_LISTS
+        asked = queries.withColumn("lists", lists_of("v"))
+        lists = sorted(r.list for r in asked.select(F.explode("lists").alias("list")).distinct().collect())  # at most MOST_LISTS
         if not lists:
             return self.spark.createDataFrame([], "query_id long, rank int, id long, score double")
-        codes = self._live(self.rows(lists).select("id", "list", "code", "seq"), "id")
-        parts = codes.groupBy("list").agg(F.ceil(F.count("*") / ROWS).alias("parts"))  # a row a list
-        codes = codes.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+        bin_of = lambda c: F.shiftright(c, BIN.bit_length() - 1)
+        codes = self._live(self.rows(lists).select("id", "list", "code", "seq"), "id").withColumn("bin", bin_of(F.col("list")))
+        parts = codes.groupBy("bin").agg(F.ceil(F.count("*") / (2 * BIN * LIST_ROWS)).alias("parts"))  # a row a bin
+        codes = codes.join(F.broadcast(parts), "bin").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
         blocks = max(1, -(-queries.count() // QUERIES))
-        asked = asked.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        asked = asked.select("id", "v", "list", "part", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb"))
-        keys = ["list", "part", "qb"]
-        pairs = asked.select(F.col("list").alias("l"), F.col("part").alias("p"), F.col("qb").alias("b")).distinct()
-        held = codes.join(pairs, (F.col("list") == F.col("l")) & (F.col("part") == F.col("p")))
-        held = held.select(F.col("id").alias("id"), F.col("l").alias("list"), F.col("p").alias("part"), F.col("b").alias("qb"), "code", "seq")
-        again = AGAIN * k
-        guessed = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, r: _scored(q, r, sent.value, again), "query_id long, id long, list int, seq int, guess double")
+        asked = asked.withColumn("bin", F.explode(F.array_distinct(F.transform("lists", bin_of))))
+        asked = asked.withColumn("lists", F.filter("lists", lambda c: bin_of(c) == F.col("bin")))
+        asked = asked.join(F.broadcast(parts), "bin").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        asked = asked.select("id", "v", "lists", "bin", "part", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb"))
+        keys = ["bin", "part", "qb"]
+        pairs = asked.select(F.col("bin").alias("l"), F.col("part").alias("p"), F.col("qb").alias("b")).distinct()
+        held = codes.join(pairs, (F.col("bin") == F.col("l")) & (F.col("part") == F.col("p")))
+        held = held.select("id", "list", "code", "seq", F.col("l").alias("bin"), F.col("p").alias("part"), F.col("b").alias("qb"))
+        again = max(again, AGAIN * k)
+        guessed = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(lambda q, r: _scored(q, r, sent.value, again + 1), "query_id long, id long, list int, seq int, guess double")
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "id"))
         best = guessed.where("id <> query_id").withColumn("k", best).where(F.col("k") <= again).drop("k", "guess")
         # the candidates' vectors, from the pages of their lists
