@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,13 +16,27 @@ from .metric import cosine_radius, in_balls
 from .similarity import in_blocks, unit
 
 
-def _forest(q: pd.DataFrame, r: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of a block that connect all rows within the threshold, at most one a row."""
-    if not len(q) or not len(r):
-        return pd.DataFrame({"u": [], "v": []}).astype("int64")
-    ids, at = np.unique(np.concatenate((q["id"], r["id"])), return_inverse=True)
-    a, b = np.nonzero(1 - np.stack(q["v"]) @ np.stack(r["v"]).T <= threshold)
-    a, b = at[: len(q)][a], at[len(q) :][b]
+#: Candidates that are scored again at once; links that are held at once.
+CHECKED, LINKS = 1 << 16, 1 << 20
+
+
+def _linked(q: np.ndarray, r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of unit vectors within the threshold: products of single precision, those near it again in double."""
+    slack = (q.shape[1] + 8) * 2.0**-22
+    score = (q.astype(np.float32) @ r.astype(np.float32).T).ravel()
+    at = np.flatnonzero(score >= 1 - threshold - slack)
+    sure = score[at] > 1 - threshold + slack
+    near = at[~sure]
+    for k in range(0, len(near), CHECKED):
+        some = near[k : k + CHECKED]
+        sure[np.searchsorted(at, some)] = 1 - np.einsum("ij,ij->i", q[some // len(r)], r[some % len(r)]) <= threshold
+    return np.divmod(at[sure], len(r))
+
+
+def _tree(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+    """At most one link a node that connect what the links ``u`` to ``v`` connect."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
     label = np.arange(len(ids))
     while (label[a] != label[b]).any():
         low = np.minimum(label[a], label[b])
@@ -32,6 +48,28 @@ def _forest(q: pd.DataFrame, r: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"u": ids[own], "v": ids[label[own]]})
 
 
+def _forest(q: pd.DataFrame, r: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of a block that connect all rows within the threshold, at most one a row; a pair counts where its query is the smaller."""
+    if not len(q) or not len(r):
+        return pd.DataFrame({"u": [], "v": []}).astype("int64")
+    a, b = _linked(np.stack(q["v"]), np.stack(r["v"]), threshold)
+    u, v = q["id"].to_numpy()[a], r["id"].to_numpy()[b]
+    return _tree(u[u < v], v[u < v])
+
+
+def _fewer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a task as trees, so that they follow its rows and not its pairs."""
+    held = pd.DataFrame({"u": [], "v": []}).astype("int64")
+    for frame in frames:
+        held = pd.concat((held, frame))
+        if len(held) > LINKS:
+            held = _tree(held["u"].to_numpy(), held["v"].to_numpy())
+            if len(held) > LINKS // 2:
+                yield held
+                held = held[:0]
+    yield _tree(held["u"].to_numpy(), held["v"].to_numpy())
+
+
 def new_identities(unmatched: DataFrame, base: int, threshold: float = 0.178) -> DataFrame:
     """``(id, identity_id, name)``: detections connected by distances within the threshold share a new identity.
 
@@ -39,7 +77,7 @@ def new_identities(unmatched: DataFrame, base: int, threshold: float = 0.178) ->
     result doesn't depend on the order of arrival.
     """
     links = in_balls(unmatched, unmatched, cosine_radius(threshold), lambda q, r: _forest(q, r, threshold), "u long, v long")
-    labels = connected(links).withColumnRenamed("node", "id")
+    labels = connected(links.mapInPandas(_fewer, "u long, v long")).withColumnRenamed("node", "id")
     rows = unmatched.select("id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     ids = numbered(rows.select("label").distinct(), ["label"], base, "identity_id")
     return rows.join(ids, "label").select("id", "identity_id", F.concat(F.lit("Character "), F.col("identity_id").cast("string")).alias("name"))
