@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalized
+from ..shared import kept
 from ..sources.views import query
 from .hamming import hamming, hash_pairs
-from .metric import cosine_radius, in_balls
+from .metric import _vectors, cosine_radius, in_balls
 
 #: Rows and queries of one block of a vector search.
 ROWS, QUERIES = 8192, 1024
@@ -110,6 +114,17 @@ def _centroids(rows: DataFrame, n: int, k: int, lists: int | None, recall: float
     return c, int(np.quantile(at, recall, method="higher")) + 1 if len(at) else len(c)
 
 
+def _near_lists(batches: Iterable[pa.RecordBatch], lists: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the numbers of their ``probes`` nearest lists; a piece has ``SCORES`` scores at most, however large its batch."""
+    step = max(1, SCORES // len(lists))
+    for batch in batches:
+        for some in (batch.slice(k, step) for k in range(0, batch.num_rows, step)):
+            scores = _vectors(some) @ lists.T
+            near = np.argmax(scores, axis=1)[:, None] if probes == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+            ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
+            yield pa.record_batch([some.column(0), some.column(1), pa.ListArray.from_arrays(ends, pa.array(near.astype(np.int32).ravel()))], ["id", "v", "lists"])
+
+
 def knn_lists(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int | None = None, recall: float = 0.95, sample: int = 20_000) -> DataFrame:
     """As ``knn_exact``, by lists: centroids of a bounded sample, every row in its nearest list, queries in their nearest ones.
 
@@ -118,30 +133,18 @@ def knn_lists(queries: DataFrame, rows: DataFrame, k: int = 10, lists: int | Non
     are then found over all rows (tests). A list is cut into parts of at most about ``ROWS`` rows, so a
     list that holds most of the rows is no larger task.
     """
+    rows, queries = (kept(df.select("id", F.col("v").cast("array<double>").alias("v")), "vectors") for df in (rows, queries))  # they are read several times
     n = rows.count()
     if not n:
         return knn_exact(queries, rows, k)
     found_lists, probes = _centroids(rows, n, k, lists, recall, sample)
     sent = rows.sparkSession.sparkContext.broadcast(found_lists)  # at most sample / 40 vectors
 
-    @F.pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        lists, step = [], max(1, SCORES // len(sent.value))
-        for start in range(0, len(v), step):
-            scores = np.stack(v.iloc[start : start + step].to_numpy()) @ sent.value.T
-            lists.extend(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32).copy())
-        return pd.Series(lists)
-
-    @F.pandas_udf("int")
-    def nearest_one(v: pd.Series) -> pd.Series:
-        step = max(1, SCORES // len(sent.value))
-        parts = [np.argmax(np.stack(v.iloc[start : start + step].to_numpy()) @ sent.value.T, axis=1) for start in range(0, len(v), step)]
-        return pd.Series(np.concatenate(parts).astype(np.int32))
-
-    held = rows.withColumn("list", nearest_one("v"))
+    near = lambda df, some: df.mapInArrow(lambda it: _near_lists(it, sent.value, some), "id long, v array<double>, lists array<int>")
+    held = near(rows, 1).select("id", "v", F.get("lists", F.lit(0)).alias("list"))
     parts = held.groupBy("list").agg(F.ceil(F.count("*") / ROWS).alias("parts"))  # a row a list
     held = held.join(F.broadcast(parts), "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    asked = queries.withColumn("list", F.explode(nearest("v"))).join(F.broadcast(parts), "list")
+    asked = near(queries, probes).select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(parts), "list")
     asked = asked.select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERIES)))).alias("qb"))
     blocks = asked.select(F.col("list").alias("l"), F.col("part").alias("p"), F.col("qb").alias("b")).distinct()
     held = held.join(blocks, (F.col("list") == F.col("l")) & (F.col("part") == F.col("p")))
