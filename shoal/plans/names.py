@@ -1,14 +1,20 @@
 """A stored index of the three-sign pieces of names and paths: which rows contain a text, without reading the others.
 
-A posting ``(gram, id, text)`` carries its row's text, so a search is one pruned scan: of the pattern's grams
-the dictionary tells the rarest, its postings are read from its bucket's folder, the pages of its gram
-alone, and the pattern itself decides on each. A hit has all grams of the pattern, so none is lost.
+Texts are numbered where they lie, and ``BLOCK`` neighbours are a block. A posting ``(gram, chunk, blocks)`` tells
+by 64 bits which blocks of a chunk hold a gram, so postings follow the blocks' distinct grams and not the signs of
+all texts, and only they are shuffled. A search reads the postings of the pattern's grams, keeps the
+blocks that have all of them, and reads the pages of these; the pattern itself decides on each text. A hit has
+all grams of the pattern, so none is lost.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +22,14 @@ from ..shared import fresh_path
 from ..sources.generations import Generations
 from ..sources.views import query
 
-#: Signs of a gram; postings that a bucket is made for; fewest and most buckets; postings a page.
-SIGNS, BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, PAGE = 3, 1 << 20, 16, 4096, 1 << 10
+#: Signs of a gram; signs of text that a bucket is made for; fewest and most buckets; rows a page.
+SIGNS, BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS, PAGE = 3, 1 << 26, 16, 4096, 1 << 10
+#: Bits of the rows of a block; bits of the blocks of a chunk.
+BLOCK, CHUNK = 9, 6
+#: Chunks that a search asks for by ranges of places, and ranges at most; beyond, chunks are joined.
+CHUNKS, RANGES = 1 << 12, 64
 
-POSTINGS = "gram string, id long, text string, bucket int"
+TEXTS, POSTINGS = "place long, id long, text string", "gram string, chunk long, blocks long, bucket int"
 
 
 def grams(text: Column) -> Column:
@@ -40,6 +50,53 @@ def pieces(pattern: str) -> list[str]:
     return [x for x in out if x]
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of folded texts as a number of 63 bits, and its text's place."""
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = np.repeat(np.arange(len(texts)), n)
+    whole = own[: max(0, len(own) - 2)] == own[2:]
+    return ((signs[:-2] << 42) | (signs[1:-1] << 21) | signs[2:])[whole], own[2:][whole]
+
+
+def _gram(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _posted(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """``(gram, chunk, blocks)`` of batches of ``(place, folded)`` in blocks of ``bits``: a row a gram and chunk of a batch."""
+    for batch in batches:
+        place = batch.column(0).to_numpy()
+        code, at = _codes([x.decode("utf-8", "replace") for x in batch.column(1).to_pylist()])
+        block = place[at] >> bits
+        for chunk in np.unique(block >> CHUNK):
+            here = block >> CHUNK == chunk
+            found, which = np.unique(code[here], return_inverse=True)
+            held = np.zeros((len(found), 1 << CHUNK), bool)
+            held[which, block[here] & (1 << CHUNK) - 1] = True
+            blocks = np.packbits(held, axis=1, bitorder="little").view("<i8").ravel()
+            yield pa.record_batch([pa.array([_gram(c) for c in found.tolist()]), pa.array(np.full(len(found), chunk)), pa.array(blocks)], ["gram", "chunk", "blocks"])
+
+
+def _ranges(blocks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``(seq, first, last)`` of runs of ``(seq, block)``; of more than ``RANGES`` the nearest ones of a generation are one."""
+    runs: list[list[int]] = []
+    for seq, block in sorted(blocks):
+        if runs and runs[-1][0] == seq and runs[-1][2] + 1 >= block:
+            runs[-1][2] = block
+        else:
+            runs.append([seq, block, block])
+    gaps = sorted(b[1] - a[2] for a, b in zip(runs, runs[1:]) if a[0] == b[0])
+    least = gaps[min(len(runs) - RANGES, len(gaps)) - 1] if len(runs) > RANGES and gaps else 0
+    out: list[list[int]] = []
+    for run in runs:
+        if out and out[-1][0] == run[0] and run[1] - out[-1][2] <= least:
+            out[-1][2] = run[2]
+        else:
+            out.append(run)
+    return [tuple(r) for r in out]
+
+
 class NameIndex(Generations):
     """A stored index of rows ``(id, text)``; one writer at a time. An id with several rows is each of them; nulls are left out."""
 
@@ -54,14 +111,13 @@ class NameIndex(Generations):
     def append(self, rows: DataFrame) -> None:
         """Index further rows as a generation of their own."""
         _, known, seq = self._state()
-        rows = rows.where("id IS NOT NULL AND text IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text")
-        rows.write.mode("overwrite").parquet(f"{self.path}/texts/seq={seq}")
-        posted = rows.select(F.explode(grams(F.col("text"))).alias("gram"), "id", "text").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(known["buckets"])).cast("int"))
-        order = ["bucket", "gram", "id"]  # a gram of very many rows is cut by id
-        placed = posted.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        rows = rows.where("id IS NOT NULL AND text IS NOT NULL").select(F.monotonically_increasing_id().alias("place"), F.col("id").cast("long").alias("id"), "text")
+        rows.write.option("parquet.page.row.count.limit", PAGE).mode("overwrite").parquet(f"{self.path}/texts/seq={seq}")
+        stored = self._read("texts", [seq], TEXTS)
+        posted = stored.select("place", F.lower("text").cast("binary").alias("folded")).mapInArrow(lambda it: _posted(it, BLOCK), "gram string, chunk long, blocks long")
+        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(known["buckets"])).cast("int"))
+        placed = posted.repartition("bucket").sortWithinPartitions("bucket", "gram", "chunk")  # a gram has a row or two a chunk, so no bucket is large for its gram
         placed.write.option("parquet.page.row.count.limit", PAGE).partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/seq={seq}")
-        counts = self._read("postings", [seq], POSTINGS).groupBy("bucket", "gram").agg(F.count("*").alias("n")).sort("gram")
-        counts.write.option("parquet.page.row.count.limit", PAGE).mode("overwrite").parquet(f"{self.path}/grams/seq={seq}")
         self._log(seq, "rows")
 
     def contains(self, text: str) -> DataFrame:
@@ -74,14 +130,22 @@ class NameIndex(Generations):
         # the engine folds the pieces, as it folded the texts
         asked = self.spark.sql("SELECT * FROM VALUES (0) AS one(x)").select(F.flatten(F.array(*[grams(F.lit(p)) for p in pieces(text)], F.array().cast("array<string>")))).first()[0]
         if not asked:
-            return self._live(self._read("texts", seqs, "id long, text string").where(hit), "id").select("id", "text")
-        counts = self._read("grams", seqs, "bucket int, gram string, n long").where(F.col("gram").isin(asked))
-        known = {r.gram: (r.n, r.bucket) for r in counts.groupBy("gram").agg(F.sum("n").alias("n"), F.first("bucket").alias("bucket")).collect()}  # a row a gram of the pattern
-        if set(asked) - set(known):
+            return self._live(self._read("texts", seqs, TEXTS).where(hit), "id").select("id", "text")
+        buckets = [r.b for r in self.spark.createDataFrame([(g,) for g in set(asked)], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(self._state()[1]["buckets"])).alias("b")).distinct().collect()]  # a row a gram of the pattern
+        posted = self._read("postings", seqs, POSTINGS).where(F.col("bucket").isin(buckets) & F.col("gram").isin(asked))
+        of_gram = posted.groupBy("seq", "chunk", "gram").agg(F.bit_or("blocks").alias("blocks"))
+        common = of_gram.groupBy("seq", "chunk").agg(F.count("*").alias("n"), F.bit_and("blocks").alias("blocks")).where((F.col("n") == len(set(asked))) & (F.col("blocks") != 0)).select("seq", "chunk", "blocks")
+        some = common.limit(CHUNKS + 1).collect()
+        if not some:
             return self.spark.createDataFrame([], "id long, text string")
-        rarest = min(known, key=lambda g: (known[g][0], g))
-        rows = self._read("postings", seqs, POSTINGS).where((F.col("bucket") == known[rarest][1]) & (F.col("gram") == rarest) & hit)
-        return self._live(rows.select("id", "text", "seq"), "id").select("id", "text")
+        texts = self._read("texts", seqs, TEXTS)
+        if len(some) > CHUNKS:
+            rows = texts.withColumn("chunk", F.shiftright("place", BLOCK + CHUNK)).join(common.select("seq", "chunk"), ["seq", "chunk"], "left_semi")
+        else:
+            blocks = [(r.seq, (r.chunk << CHUNK) + k) for r in some for k in range(1 << CHUNK) if r.blocks >> k & 1]
+            within = lambda s, a, b: (F.col("seq") == s) & (F.col("place") >= a << BLOCK) & (F.col("place") < (b + 1) << BLOCK)
+            rows = texts.where(reduce(Column.__or__, [within(*r) for r in _ranges(blocks)]))
+        return self._live(rows.where(hit).select("id", "text", "seq"), "id").select("id", "text")
 
 
 @query("filename_index", "SELECT id FROM assets WHERE path ILIKE '%lust\\_1000%4' ESCAPE '\\' OR path ILIKE '%lust\\_1000%4%' ESCAPE '\\'", "assets")
